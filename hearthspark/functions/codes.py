@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,12 +30,11 @@ CURRENCY = "AED"
 
 def lookup(table: dict, key: Column) -> Column:
     """``table[key]``; null where the key is unknown or null."""
-    entries = [
-        F.array(*[F.lit(item) for item in value]) if isinstance(value, list) else F.lit(value)
-        for value in table.values()
-    ]
-    literal = F.create_map(*chain.from_iterable(zip([F.lit(k) for k in table], entries)))
-    return F.try_element_at(literal, key)
+    found = None
+    for known, value in table.items():
+        entry = F.array(*[F.lit(item) for item in value]) if isinstance(value, list) else F.lit(value)
+        found = F.when(key == known, entry) if found is None else found.when(key == known, entry)
+    return found
 
 
 def offering_word(word: Column) -> Column:

@@ -10,12 +10,12 @@ KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180.0
 GRID_DEGREES = 0.1
 
 
-def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km, null when a coordinate is null."""
-    lat = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
-    lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
-    a = lat * lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * lon * lon
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
+def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Great-circle distance in km between columns, null when one is null."""
+    lat, lon = f"sin((radians({lat2}) - radians({lat1})) / 2)", f"sin((radians({lon2}) - radians({lon1})) / 2)"
+    a = f"{lat} * {lat} + cos(radians({lat1})) * cos(radians({lat2})) * {lon} * {lon}"
+    # rounding can lift the root above 1 for antipodes; CASE keeps nulls null
+    return F.expr(f"{2 * EARTH_KM} * asin(sqrt(CASE WHEN ({a}) > 1 THEN 1D ELSE {a} END))")
 
 
 def reach(lat_span: Column, lon_span: Column) -> Column:

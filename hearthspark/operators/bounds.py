@@ -74,22 +74,27 @@ def by_request(df: DataFrame, *more: str) -> DataFrame:
     return df.repartition(partitions, "request_id", *more)
 
 
-def within(ends: tuple[Column, Column], least: Column, most: Column) -> tuple[Column, Column]:
+def within(ends: tuple[str, str], least: str | None = None, most: str | None = None) -> tuple[str, str]:
     """(can match, must match) for least <= value <= most; a null limit is not set."""
     lo, hi = ends
-    can = (least.isNull() | (hi >= least)) & (most.isNull() | (lo <= most))
-    must = (least.isNull() | (lo >= least)) & (most.isNull() | (hi <= most))
-    return can, must
+    can, must = [], []
+    if least is not None:
+        can.append(f"({least} IS NULL OR {hi} >= {least})")
+        must.append(f"({least} IS NULL OR {lo} >= {least})")
+    if most is not None:
+        can.append(f"({most} IS NULL OR {lo} <= {most})")
+        must.append(f"({most} IS NULL OR {hi} <= {most})")
+    return " AND ".join(can), " AND ".join(must)
 
 
-def among(ends: tuple[Column, Column], allowed: Column, ranged: bool) -> tuple[Column, Column]:
+def among(ends: tuple[str, str], allowed: str) -> tuple[str, str]:
     """(can match, must match) for value in a list; a null list is not set."""
     lo, hi = ends
-    listed = allowed.isNull() | F.array_contains(allowed, lo)
-    if not ranged:
+    listed = f"({allowed} IS NULL OR array_contains({allowed}, {lo}))"
+    if lo == hi:
         return listed, listed
-    spans = (F.array_min(allowed) <= hi) & (F.array_max(allowed) >= lo)
-    return allowed.isNull() | spans, listed & (allowed.isNull() | (lo == hi))
+    spans = f"({allowed} IS NULL OR (array_min({allowed}) <= {hi} AND array_max({allowed}) >= {lo}))"
+    return spans, f"{listed} AND ({allowed} IS NULL OR {lo} = {hi})"
 
 
 def keep_contenders(pairs: DataFrame, k: Column, best: list[Column], worst: list[Column]) -> DataFrame:

@@ -218,49 +218,47 @@ def query_vectors(
 
 # --- candidates ----------------------------------------------------------------
 
-def category_weight(weights: Column) -> Column:
-    """What the equal categories of a listing add to the dot product."""
-    parts = [
-        F.coalesce(F.try_element_at(weights, _weight_key(F.lit(c), F.col(c))), F.lit(0.0))
-        for c in features.CATEGORIES
-    ]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return total
+def category_weight() -> str:
+    """What the categories of a listing add to the dot product with ``weights``."""
+    return " + ".join(
+        f"coalesce(try_element_at(weights, concat('{c}=', {c})), 0D)" for c in features.CATEGORIES
+    )
+
+
+def _cosine(dot: str, norm: str) -> str:
+    return f"CASE WHEN ({norm}) * q_norm > 0 THEN ({dot}) / (({norm}) * q_norm) ELSE 0D END"
 
 
-def _similarity(dot: Column, norm: Column) -> Column:
-    product = norm * F.col("q_norm")
-    return F.when(product > 0, dot / product).otherwise(0.0)
+def _norm(prefix: str) -> str:
+    """Length of a listing's vector: its numbers, and 1 for each category."""
+    squares = " + ".join(f"{prefix}{c} * {prefix}{c}" for c in features.NUMERIC)
+    return f"sqrt({len(features.CATEGORIES)}D + {squares})"
 
 
 def similarity() -> Column:
     """Cosine of a listing (x_ columns, categories) and a query (q_ columns, weights)."""
-    dot = category_weight(F.col("weights"))
-    squares = F.lit(float(len(features.CATEGORIES)))
-    for c in features.NUMERIC:
-        dot = dot + F.col(f"x_{c}") * F.col(f"q_{c}")
-        squares = squares + F.col(f"x_{c}") * F.col(f"x_{c}")
-    return _similarity(dot, F.sqrt(squares))
+    numbers = " + ".join(f"x_{c} * q_{c}" for c in features.NUMERIC)
+    return F.expr(_cosine(f"{category_weight()} + {numbers}", _norm("x_")))
 
 
-def similarity_bounds() -> tuple[Column, Column]:
-    """Lowest and highest cosine that a listing within a summary can have.
+def with_similarity_bounds(df: DataFrame) -> DataFrame:
+    """Adds sim_lo and sim_hi, between which every listing of a summary lies.
 
-    Scaled features lie in 0..1, so the norm is smallest at the low ends.
+    Scaled features are in 0..1, so the norm is smallest at the low ends.
     """
-    dot_lo = dot_hi = category_weight(F.col("weights"))
-    norm_lo = norm_hi = F.lit(float(len(features.CATEGORIES)))
-    for c in features.NUMERIC:
-        at_lo, at_hi = F.col(f"lo_x_{c}") * F.col(f"q_{c}"), F.col(f"hi_x_{c}") * F.col(f"q_{c}")
-        dot_lo, dot_hi = dot_lo + F.least(at_lo, at_hi), dot_hi + F.greatest(at_lo, at_hi)
-        norm_lo = norm_lo + F.col(f"lo_x_{c}") * F.col(f"lo_x_{c}")
-        norm_hi = norm_hi + F.col(f"hi_x_{c}") * F.col(f"hi_x_{c}")
-    small, large = F.sqrt(norm_lo), F.sqrt(norm_hi)
-    low = _similarity(dot_lo, F.when(dot_lo >= 0, large).otherwise(small))
-    high = _similarity(dot_hi, F.when(dot_hi >= 0, small).otherwise(large))
-    return low - SLACK, high + SLACK
+    low, high = (
+        " + ".join(f"{pick}(lo_x_{c} * q_{c}, hi_x_{c} * q_{c})" for c in features.NUMERIC)
+        for pick in ("least", "greatest")
+    )
+    parts = df.selectExpr("*", f"{category_weight()} AS _shared").selectExpr(
+        "*", f"_shared + {low} AS _dot_lo", f"_shared + {high} AS _dot_hi",
+        f"{_norm('lo_x_')} AS _short", f"{_norm('hi_x_')} AS _long",
+    )
+    return parts.selectExpr(
+        "*",
+        _cosine("_dot_lo", "CASE WHEN _dot_lo >= 0 THEN _long ELSE _short END") + f" - {SLACK}D AS sim_lo",
+        _cosine("_dot_hi", "CASE WHEN _dot_hi >= 0 THEN _short ELSE _long END") + f" + {SLACK}D AS sim_hi",
+    ).drop("_shared", "_dot_lo", "_dot_hi", "_short", "_long")
 
 
 def _level(cheapest: Column, dearest: Column) -> Column:
@@ -283,8 +281,7 @@ def _assess(df: DataFrame) -> DataFrame:
     capped = F.col("cap") > 0
     ceiling = F.when(F.col("level") == 4, F.col("cap") * PRICE_SLACK).otherwise(F.col("cap"))
     whole = F.when(capped, F.col("hi_price") <= ceiling).otherwise(F.col("lo_price") > 0)
-    low, high = similarity_bounds()
-    return df.withColumns({"sure": whole, "sim_lo": low, "sim_hi": high})
+    return with_similarity_bounds(df.withColumn("sure", whole))
 
 
 _CARRIED = [
@@ -369,7 +366,7 @@ def final_scores(found: DataFrame, index: RecommendIndex) -> DataFrame:
     after the 50 nearest were chosen.
     """
     by_radius = F.col("level") == 2
-    km = geo.haversine(F.col("from_lat"), F.col("from_lon"), F.col("latitude"), F.col("longitude"))
+    km = geo.haversine("from_lat", "from_lon", "latitude", "longitude")
     scored = found.withColumn("dist_km", km).filter(~by_radius | (F.col("dist_km") <= NEARBY_KM))
     scored = scored.withColumns(
         {

@@ -309,7 +309,7 @@ def _places(resolved: DataFrame, index: SearchIndex) -> DataFrame:
 
 # --- matching ------------------------------------------------------------------
 
-def _assess(df: DataFrame, step: str, settled: Column | None = None) -> DataFrame:
+def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
     """Keep pairs that can match (or are settled) and add, for what lies behind each:
 
     ``sure`` (all rows match, in one rung), ``rung``/``rung_last`` and
@@ -318,79 +318,70 @@ def _assess(df: DataFrame, step: str, settled: Column | None = None) -> DataFram
     the tests are exact.
     """
 
-    def ends(name: str) -> tuple[Column, Column]:
+    def ends(name: str) -> tuple[str, str]:
         if step == "row" or (step == "cell" and name in STEADY):
-            return F.col(name), F.col(name)
-        return F.col(f"lo_{name}"), F.col(f"hi_{name}")
+            return name, name
+        return f"lo_{name}", f"hi_{name}"
 
-    unset = F.lit(None)
     tests = [
-        bounds.within(ends("price"), F.col("q_min_price"), F.col("q_max_price")),
-        bounds.within(ends("size_sqft"), F.col("q_min_area"), F.col("q_max_area")),
-        bounds.within(ends("trusted"), F.col("q_trusted"), unset),
-        bounds.within(ends("verified"), F.col("q_verified"), unset),
-        bounds.within(ends("listed_at"), F.col("q_since"), unset),
-        bounds.among(ends("bath_int"), F.col("q_baths"), step == "block"),
-        bounds.among(ends("furnished_flag"), F.col("q_furnished"), step == "block"),
-        bounds.among(ends("completion_status"), F.col("q_completion"), step == "block"),
+        bounds.within(ends("price"), "q_min_price", "q_max_price"),
+        bounds.within(ends("size_sqft"), "q_min_area", "q_max_area"),
+        bounds.within(ends("trusted"), "q_trusted"),
+        bounds.within(ends("verified"), "q_verified"),
+        bounds.within(ends("listed_at"), "q_since"),
+        bounds.among(ends("bath_int"), "q_baths"),
+        bounds.among(ends("furnished_flag"), "q_furnished"),
+        bounds.among(ends("completion_status"), "q_completion"),
+        bounds.within(("near_km", "near_km"), None, "q_radius"),
     ]
     if step == "row":
-        km = F.round(geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("latitude"), F.col("longitude")), 9)
+        km = F.round(geo.haversine("q_lat", "q_lon", "latitude", "longitude"), 9)
         df = df.withColumn("near_km", km).withColumn("far_km", F.col("near_km"))
-        whole = F.lit(True)
-        undated = F.col("listed_at").isNull()
+        undated = "listed_at IS NULL"
     else:
-        km = geo.haversine(F.col("q_lat"), F.col("q_lon"), F.col("mid_lat"), F.col("mid_lon"))
-        df = df.withColumn("_km", km).withColumns(
-            {
-                "near_km": F.when(F.col("_km") > F.col("reach_km"), F.col("_km") - F.col("reach_km")).when(
-                    F.col("_km").isNotNull(), 0.0),
-                "far_km": F.col("_km") + F.col("reach_km"),
-            }
-        ).drop("_km")
-        whole = (F.col("q_since").isNull() | (F.col("n_dated") == F.col("n"))) & (
-            F.col("q_lat").isNull() | (F.col("n_located") == F.col("n"))
-        )
-        undated = F.col("n_dated") < F.col("n")
-    tests.append(
-        (
-            F.col("q_radius").isNull() | (F.col("near_km") <= F.col("q_radius")),
-            F.col("q_radius").isNull() | (F.col("far_km") <= F.col("q_radius")),
+        df = df.withColumn("_km", geo.haversine("q_lat", "q_lon", "mid_lat", "mid_lon")).selectExpr(
+            "*",
+            "CASE WHEN _km > reach_km THEN _km - reach_km WHEN _km IS NOT NULL THEN 0D END AS near_km",
+            "_km + reach_km AS far_km",
         )
-    )
-    can, must = F.lit(True), whole
-    for possible, certain in tests:
-        can, must = can & possible, must & certain
-
-    def rung(km: Column) -> Column:
-        steps = F.when(km <= RUNGS_KM[0], 1).when(km <= RUNGS_KM[1], 2).otherwise(3)
-        return F.when(F.col("mode") == "centroid", steps).otherwise(0)
+        undated = "n_dated < n"
+    can = " AND ".join(possible for possible, _ in tests)
+    must = [certain for _, certain in tests] + [
+        "(q_radius IS NULL OR far_km <= q_radius)",
+        "(q_since IS NULL OR n_dated = n)",
+        "(q_lat IS NULL OR n_located = n)",
+    ]
 
-    df = df.filter(can if settled is None else settled | can).withColumns({"rung": rung(F.col("near_km")), "rung_last": rung(F.col("far_km"))})
-    if step == "row":
-        sure = F.lit(True)
-    else:
-        sure = F.coalesce(must, F.lit(False)) & (F.col("rung") == F.col("rung_last"))
+    def rung(km: str) -> str:
+        steps = f"CASE WHEN {km} <= {RUNGS_KM[0]} THEN 1 WHEN {km} <= {RUNGS_KM[1]} THEN 2 ELSE 3 END"
+        return f"CASE WHEN mode = 'centroid' THEN {steps} ELSE 0 END"
 
-    never = F.lit(float("inf"))
     price, listed, ai = ends("price"), ends("listed_at"), ends("ai_score")
-    away = [F.coalesce(F.col(c) * RANK_PER_KM, F.lit(0.0)) for c in ("near_km", "far_km")]
+    never = "double('infinity')"
     keys = {
         "priceAsc": price,
-        "priceDesc": (-price[1], -price[0]),
-        "bedroomAsc": (F.col("beds_int"), F.col("beds_int")),
-        "bedroomDesc": (-F.col("beds_int"), -F.col("beds_int")),
-        "newest": (F.coalesce(-listed[1], never), F.when(undated, never).otherwise(-listed[0])),
-        "featured": (away[0] - ai[1], away[1] - ai[0]),
+        "priceDesc": (f"-{price[1]}", f"-{price[0]}"),
+        "bedroomAsc": ("beds_int", "beds_int"),
+        "bedroomDesc": ("-beds_int", "-beds_int"),
+        "newest": (f"coalesce(-{listed[1]}, {never})", f"CASE WHEN {undated} THEN {never} ELSE -{listed[0]} END"),
+        "featured": tuple(
+            f"coalesce({km} * {RANK_PER_KM}D, 0D) - {score}" for km, score in (("near_km", ai[1]), ("far_km", ai[0]))
+        ),
     }
 
-    def key(end: int) -> Column:
-        chosen = F.when(F.lit(False), F.lit(0.0))
-        for name, pair in keys.items():
-            chosen = chosen.when(F.col("sort") == name, pair[end])
-        return chosen
-
-    return df.withColumns({"sure": sure, "first_key": key(0), "last_key": key(1)})
+    def key(end: int) -> str:
+        return "CASE sort " + " ".join(f"WHEN '{name}' THEN {pair[end]}" for name, pair in keys.items()) + " END"
+
+    sure = "true" if step == "row" else f"coalesce({' AND '.join(must)}, false) AND {rung('near_km')} = {rung('far_km')}"
+    replaced = [c for c in ("rung", "sure") if c in df.columns]
+    return df.filter(f"{settled} OR ({can})").drop(*replaced).selectExpr(
+        "*",
+        f"{rung('near_km')} AS rung",
+        f"{rung('far_km')} AS rung_last",
+        f"{sure} AS sure",
+        f"{key(0)} AS first_key",
+        f"{key(1)} AS last_key",
+    )
 
 
 def _carried(resolved: DataFrame) -> list[str]:
@@ -442,7 +433,7 @@ def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
 
     def count(opened: DataFrame, step: str, n: Column) -> DataFrame:
         settled = F.col("settled")
-        return _assess(opened, step, settled).withColumns(
+        return _assess(opened, step, "settled").withColumns(
             {
                 "rung": F.when(settled, F.col("was_rung")).otherwise(F.col("rung")),
                 "n": F.when(settled, F.col("was_n")).otherwise(n),
@@ -542,12 +533,13 @@ def _label(dated: bool) -> Column:
 
 
 def meta(requests: DataFrame, index: SearchIndex, as_of, dated: bool = True) -> DataFrame:
-    """(request_id, total_count, page, search_method) of every accepted request.
+    """(request_id, total_count, page, search_method) of every accepted request."""
+    return _meta(resolve(requests, index, as_of), index, dated)
 
-    A keyword search without hits is labelled by whether its plain filters
-    left anything; only those requests are counted a second time.
-    """
-    resolved = resolve(requests, index, as_of)
+
+def _meta(resolved: DataFrame, index: SearchIndex, dated: bool = True) -> DataFrame:
+    """A keyword search without hits is labelled by whether its plain filters
+    left anything; only those requests are counted a second time."""
     hits = resolved.join(count_matches(resolved, index), "request_id", "left")
     keyword = F.col("mode").isin("centroid", "text")
     unsure = without_geo(
@@ -558,13 +550,16 @@ def meta(requests: DataFrame, index: SearchIndex, as_of, dated: bool = True) ->
         hits.join(before, "request_id", "left")
         .withColumn("filtered", F.col("total_count").isNotNull() | F.coalesce("had_rows", F.lit(False)))
         .withColumn("total_count", F.coalesce("total_count", F.lit(0).cast("bigint")))
-        .select("request_id", "total_count", "page", _label(dated).alias("search_method"), "skip", "luxury")
+        .select("request_id", "total_count", "page", _label(dated).alias("search_method"))
     )
 
 
 def page(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
     """The listings of each request's page, in order."""
-    resolved = resolve(requests, index, as_of)
+    return _page(resolve(requests, index, as_of), index)
+
+
+def _page(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     shown = resolved.select("request_id", "skip", "luxury")
     return (
         top_matches(resolved, index)
@@ -582,8 +577,8 @@ def page(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
 
 def search(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
     """Pages with their request's total count and search method."""
-    about = meta(requests, index, as_of).drop("skip", "luxury")
-    return page(requests, index, as_of).join(about, "request_id")
+    resolved = resolve(requests, index, as_of)
+    return _page(resolved, index).join(_meta(resolved, index), "request_id")
 
 
 def response(results: DataFrame, index: SearchIndex, as_of, image_url: str = codes.DEFAULT_IMAGE) -> DataFrame:

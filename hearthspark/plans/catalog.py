@@ -277,7 +277,7 @@ def haversine(ws: Workspace) -> DataFrame:
     centers = search.location_centroids(serving).select(
         "location_name", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon")
     )
-    km = geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("latitude"), F.col("longitude"))
+    km = geo.haversine("c_lat", "c_lon", "latitude", "longitude")
     return serving.join(centers, "location_name").select("property_listing_id", F.round(km, 6).alias("dist_km"))
 
 
@@ -331,7 +331,7 @@ def ring_requests(ws: Workspace) -> DataFrame:
     centers = search.location_centroids(serving).select(
         "location_name", F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon")
     )
-    km = geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("latitude"), F.col("longitude"))
+    km = geo.haversine("c_lat", "c_lon", "latitude", "longitude")
     ring = F.when(km.between(2, 3), 1).when(km.between(5, 6), 2).when(F.col("latitude") == 0, 3)
     first = Window.partitionBy("location_name", "ring").orderBy(F.col("property_listing_id").cast("bigint"))
     picked = (
