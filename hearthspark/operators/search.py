@@ -269,6 +269,11 @@ def resolve(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
             .when(F.col("center").isNotNull(), RUNGS_KM[-1])
             .alias("q_radius"),
             F.coalesce("sort", F.lit("featured")).alias("sort"),
+            # numbers, as they are compared once per pair
+            F.array_position(F.array(*[F.lit(name) for name in codes.SORTS]), F.coalesce("sort", F.lit("featured")))
+            .cast("int")
+            .alias("q_order"),
+            (mode == "centroid").alias("q_rungs"),
             page.alias("page"),
             (page.cast("bigint") * limit).alias("upto"),
             ((page - 1).cast("bigint") * limit).alias("skip"),
@@ -281,7 +286,10 @@ def without_geo(resolved: DataFrame) -> DataFrame:
     """The same requests before their geo step."""
     nothing = F.lit(None).cast("double")
     return resolved.withColumns(
-        {"mode": F.lit("none"), "q_lat": nothing, "q_lon": nothing, "q_radius": nothing}
+        {
+            "mode": F.lit("none"), "q_rungs": F.lit(False),
+            "q_lat": nothing, "q_lon": nothing, "q_radius": nothing,
+        }
     )
 
 
@@ -354,7 +362,7 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
 
     def rung(km: str) -> str:
         steps = f"CASE WHEN {km} <= {RUNGS_KM[0]} THEN 1 WHEN {km} <= {RUNGS_KM[1]} THEN 2 ELSE 3 END"
-        return f"CASE WHEN mode = 'centroid' THEN {steps} ELSE 0 END"
+        return f"CASE WHEN q_rungs THEN {steps} ELSE 0 END"
 
     price, listed, ai = ends("price"), ends("listed_at"), ends("ai_score")
     never = "double('infinity')"
@@ -370,22 +378,21 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
     }
 
     def key(end: int) -> str:
-        return "CASE sort " + " ".join(f"WHEN '{name}' THEN {pair[end]}" for name, pair in keys.items()) + " END"
+        return "CASE q_order " + " ".join(f"WHEN {i} THEN {keys[name][end]}" for i, name in enumerate(codes.SORTS, 1)) + " END"
 
-    sure = "true" if step == "row" else f"coalesce({' AND '.join(must)}, false) AND {rung('near_km')} = {rung('far_km')}"
+    sure = "true" if step == "row" else f"coalesce({' AND '.join(must)}, false) AND rung = rung_last"
     replaced = [c for c in ("rung", "sure") if c in df.columns]
     return df.filter(f"{settled} OR ({can})").drop(*replaced).selectExpr(
         "*",
         f"{rung('near_km')} AS rung",
         f"{rung('far_km')} AS rung_last",
-        f"{sure} AS sure",
         f"{key(0)} AS first_key",
         f"{key(1)} AS last_key",
-    )
+    ).withColumn("sure", F.expr(sure))
 
 
 def _carried(resolved: DataFrame) -> list[str]:
-    return [c for c in resolved.columns if c not in ("term", "q_offering", "q_types", "q_beds", "page", "skip", "luxury")]
+    return [c for c in resolved.columns if c not in ("term", "q_offering", "q_types", "q_beds", "page", "skip", "luxury", "mode")]
 
 
 def _block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
@@ -407,8 +414,14 @@ def _block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     return _assess(pairs.filter(named), "block")
 
 
-def _down(pairs: DataFrame, finer: DataFrame, keys: list[str], carried: list[str], extra: tuple = ()) -> DataFrame:
-    return pairs.select(*carried, *keys, *extra).join(finer, keys)
+def _down(pairs: DataFrame, resolved: DataFrame, finer: DataFrame, keys: list[str], extra: tuple = ()) -> DataFrame:
+    """Pairs opened in the next finer step.
+
+    Pairs are shuffled and sorted by request, so they stay narrow: the
+    request's own columns are joined again on the other side.
+    """
+    asked = resolved.select(_carried(resolved))
+    return pairs.select("request_id", *keys, *extra).join(asked, "request_id").join(finer, keys)
 
 
 def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
@@ -453,13 +466,12 @@ def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
 
 def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     """The first ``upto`` listings of each request in its order, with ``position``."""
-    carried = _carried(resolved)
     best = [F.col("rung"), F.col("first_key")]
     worst = [F.col("rung_last"), F.col("last_key")]
     k = F.col("upto")
     blocks = bounds.keep_contenders(_block_pairs(resolved, index), k, best, worst)
     cells = bounds.keep_contenders(
-        _assess(_down(blocks, index.cells, BLOCK_ID, carried), "cell"), k, best, worst
+        _assess(_down(blocks, resolved, index.cells, BLOCK_ID), "cell"), k, best, worst
     )
     # In a cell that matches as a whole only its first rows in the request's
     # order can be on the page; a distance in the order rules that short cut out.
@@ -471,7 +483,7 @@ def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
         .when(F.col("sort") == "featured", F.col("nth_ai"))
         .otherwise(F.col("nth_id"))
     )
-    opened = _down(cells.withColumn("ranked", ranked), index.rows, CELL_ID, carried, ("ranked",)).filter(
+    opened = _down(cells.withColumn("ranked", ranked), resolved, index.rows, CELL_ID, ("ranked",)).filter(
         ~F.col("ranked") | (nth <= k)
     )
     rows = _assess(opened, "row")
