@@ -64,8 +64,8 @@ def build_index(model: DataFrame, stage: Stage = _inline) -> RecommendIndex:
             *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in texts],
             "location_name", "price", "size_sqft", "beds_int", "bath_int", "latitude", "longitude",
             "freshness_score", "smart_popularity_score",
-            bounds.log_band(F.col("price"), 2).alias("price_band"),
-            bounds.log_band(F.col("size_sqft"), 2).alias("size_band"),
+            bounds.log_band(F.col("price"), 8).alias("price_band"),
+            bounds.log_band(F.col("size_sqft"), 4).alias("size_band"),
         ),
         scaling,
     )
@@ -315,7 +315,7 @@ def _leveled_blocks(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
     )
     pairs = bounds.salted_join(asking, index.blocks, SEGMENT, SALTS)
     leveled = pairs.withColumn("level", _level(F.col("lo_price"), F.col("hi_price"))).filter("level IS NOT NULL")
-    best = leveled.withColumn("_best", F.min("level").over(Window.partitionBy("request_id")))
+    best = bounds.by_request(leveled).withColumn("_best", F.min("level").over(Window.partitionBy("request_id")))
     return best.filter(F.col("level") == F.col("_best")).drop("_best")
 
 

@@ -119,8 +119,8 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
         micros.alias("listed_at"),
         (F.lit(0.0) if ai_score is None else ai_score).alias("ai_score"),
         geo.grid_cell(F.col("latitude"), F.col("longitude")).alias("grid"),
-        bounds.log_band(F.col("price"), 4).alias("price_band"),
-        bounds.log_band(F.col("size_sqft"), 2).alias("size_band"),
+        bounds.log_band(F.col("price"), 8).alias("price_band"),
+        bounds.log_band(F.col("size_sqft"), 4).alias("size_band"),
         F.coalesce(F.floor(micros / (7 * scoring.DAY_MICROS)), F.lit(-1)).alias("week"),
         F.concat_ws(
             ":", F.floor(F.col("latitude") * 100).cast("string"), F.floor(F.col("longitude") * 100).cast("string")
@@ -414,14 +414,14 @@ def _block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     return _assess(pairs.filter(named), "block")
 
 
-def _down(pairs: DataFrame, resolved: DataFrame, finer: DataFrame, keys: list[str], extra: tuple = ()) -> DataFrame:
+def _down(pairs: DataFrame, resolved: DataFrame, finer: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs opened in the next finer step.
 
     Pairs are shuffled and sorted by request, so they stay narrow: the
     request's own columns are joined again on the other side.
     """
     asked = resolved.select(_carried(resolved))
-    return pairs.select("request_id", *keys, *extra).join(asked, "request_id").join(finer, keys)
+    return pairs.select("request_id", *keys).join(asked, "request_id").join(finer, keys)
 
 
 def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
@@ -483,7 +483,14 @@ def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
         .when(F.col("sort") == "featured", F.col("nth_ai"))
         .otherwise(F.col("nth_id"))
     )
-    opened = _down(cells.withColumn("ranked", ranked), resolved, index.rows, CELL_ID, ("ranked",)).filter(
+    # The first rows of each cell are filed a second time under ranked: such a
+    # pair meets only them, however many rows its cell holds.
+    places = [c for c in index.rows.columns if c.startswith("nth_")]
+    leads = F.least(*places) <= resolved.agg(F.max("upto")).scalar()
+    filed = index.rows.withColumn(
+        "ranked", F.explode(F.when(leads, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    )
+    opened = _down(cells.withColumn("ranked", ranked), resolved, filed, [*CELL_ID, "ranked"]).filter(
         ~F.col("ranked") | (nth <= k)
     )
     rows = _assess(opened, "row")
