@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthspark.llm import simhash
+from hearthspark.llm import simhash, token_columns
 from hearthspark.llm.common import ship
 
 
@@ -15,12 +17,35 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of what they decode to."""
+    both = token_columns.encode_and_decode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer())
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counts = token_columns.count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer())
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 
