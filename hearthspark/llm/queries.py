@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import simhash, token_columns
+from hearthspark.llm import simhash, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -21,6 +21,18 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of the labelled rows."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of what they decode to."""
     both = token_columns.encode_and_decode(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer())
@@ -44,6 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_toxicity": op6_toxicity,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
