@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import simhash, token_columns, toxicity
+from hearthspark.llm import decontamination, simhash, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -21,6 +21,18 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place has, and what was removed."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return substrings.remove_repeated(docs)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents contain."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return decontamination.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("body")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the labelled rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -56,10 +68,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substrings": op2_substrings,
+    "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
 }
 
-CHECKS: dict[str, str] = {}
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """Distinct shingles of 5 words, of fewer words the whole sequence, of none none."""
+    low = f"translate(text, '{_LETTERS.upper()}', '{_LETTERS}')"
+    words = f"regexp_extract_all({low}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
+        FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0"""
+
+
+CHECKS: dict[str, str] = {
+    "op3_decontamination": f"""
+WITH d AS ({_shingles_sql("documents", "doc_id")}),
+i AS ({_shingles_sql("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN i USING (shingle) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM s JOIN n USING (item_id) WHERE n_shared / n_shingles >= 0.8
+""",
+}
