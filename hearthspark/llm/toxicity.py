@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters of words.
 
 A word is read byte by byte behind a leading space, lowered. The highest order (ORDER bytes) is counted by class
-from labelled rows; every lower order is one set of continuation counts that both classes share, gathered from
-all documents. So a rare expression falls back on the same probability under either class and tells the classes
+from labelled rows; what is backed off to (n-grams of SHORTER bytes) is one set of continuation counts that both
+classes share, gathered from all documents. So a rare expression falls back on the same probability under either class and tells the classes
 apart only by what each has really seen:
 
     P_c(b | h) = (max(n_c(h b) - D, 0) + D * N_c(h) * P(b | h')) / n_c(h)
 
 with n_c the counts of class c, N_c(h) the number of different bytes that class c has seen after h, and P the
-shared Kneser-Ney estimate over contexts that are one byte shorter. The log ratio of the two classes is summed
+shared Kneser-Ney estimate after a shorter context h'. The log ratio of the two classes is summed
 over the bytes of a word, r. A text gives the length-normalised difference of its log-likelihoods, the ratio of its
 most telling word, and, as most words of a toxic text are ordinary ones, the log-likelihood ratio of a mixture,
 the sum of log(1 - q + q e^r) with q = OWN_WORDS, whole and by word, and the number and share of the words whose
@@ -35,6 +35,8 @@ from hearthspark.llm.common import batches, written
 from hearthspark.llm.hashing import mix
 
 ORDER = 8
+#: Bytes of the n-grams that are backed off to, and whose counts the classes share.
+SHORTER = 5, 3, 1
 DISCOUNT = 0.75
 #: Buckets of log ratios, and of the ratios of contexts alone, as powers of two.
 TABLE, CONTEXTS = 22, 21
@@ -82,19 +84,24 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, word, text[starts] if len(starts) else np.empty(0, dtype=np.int64)
 
 
+def _suffix(key: str, size: int) -> Column:
+    """The last bytes of an n-gram."""
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([k for k, _ in parts])
     counts = np.concatenate([c for _, c in parts])
     found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.stack([np.bincount(inverse, weights=counts[:, i], minlength=len(found)) for i in (0, 1, 2)], axis=1)
+    return found, np.stack([np.bincount(inverse, weights=counts[:, i], minlength=len(found)) for i in (0, 1)], axis=1)
 
 
 def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, toxic, ordinary, any) summed up over the texts of a task; label: 1, 0 or null."""
+    """(key, toxic, ordinary) summed up over the texts of a task; label: 1, 0 or null."""
 
     def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        columns = [keys, *(counts[:, i].astype(np.int64) for i in (0, 1, 2))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "toxic", "ordinary", "any"])
+        columns = [keys, *(counts[:, i].astype(np.int64) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "toxic", "ordinary"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -107,7 +114,7 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, inverse = np.unique(keys, return_inverse=True)
             n = len(found)
             counts = [np.bincount(inverse, weights=own == 1, minlength=n), np.bincount(inverse, weights=own == 0, minlength=n)]
-            held.append((found, np.stack([*counts, np.bincount(inverse, minlength=n)], axis=1)))
+            held.append((found, np.stack(counts, axis=1)))
             size += n
             if size > HELD:
                 held = [_merge(held)]
@@ -120,38 +127,33 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gather(docs: DataFrame, text: str, label: str) -> DataFrame:
-    """(key, toxic, ordinary, any) of every n-gram of the highest order in all documents."""
+    """(key, toxic, ordinary) of every n-gram of the highest order in all documents."""
     rows = docs.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    counted = rows.mapInArrow(_count, "key long, toxic long, ordinary long, any long")
-    return counted.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "any")))
+    counted = rows.mapInArrow(_count, "key long, toxic long, ordinary long")
+    return counted.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")))
 
 
 def shared_estimates(grams: DataFrame) -> DataFrame:
-    """(key, shared): the Kneser-Ney estimate of the last byte of every n-gram one byte shorter than ORDER.
+    """(key, shared): the Kneser-Ney estimate of the last byte of every n-gram of the longest shorter size.
 
-    The count of a shorter n-gram is the number of different bytes before it. The estimates are built up from
-    single bytes; those back off to an even distribution over 256.
+    The count of a shorter n-gram is the number of different n-grams of the next longer size that end with it.
+    The estimates are built up from single bytes; those back off to an even distribution over 256.
     """
     types, levels = grams.select("key"), []
-    for size in range(ORDER - 1, 0, -1):
-        types = types.select(F.expr(f"key & {(1 << 8 * size) - 1}L").alias("key"))
-        counted = types.groupBy("key").agg(F.count("*").alias("n"))
-        levels.append(written(counted, f"continuations-{size}"))
+    for size in SHORTER:
+        levels.append(types.groupBy(_suffix("key", size).alias("key")).agg(F.count("*").alias("n")))
+        levels[-1] = written(levels[-1], f"continuations-{size}")
         types = levels[-1].select("key")
-    estimate = None
-    for size, level in zip(range(1, ORDER), reversed(levels), strict=True):
+    estimate, before = None, 0
+    for size, level in zip(reversed(SHORTER), reversed(levels), strict=True):
         level = level.withColumn("context", F.shiftright("key", 8))
         seen = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        joined = level.join(seen, "context")
-        if size == 1:
-            below = F.lit(1.0 / 256)
-        else:
-            joined = joined.withColumn("short", F.expr(f"key & {(1 << 8 * (size - 1)) - 1}L")).join(
-                estimate.select(F.col("key").alias("short"), F.col("shared").alias("below")), "short"
-            )
-            below = F.col("below")
+        joined, below = level.join(seen, "context"), F.lit(1.0 / 256)
+        if before:
+            shorter = estimate.select(F.col("key").alias("short"), F.col("shared").alias("below"))
+            joined, below = joined.withColumn("short", _suffix("key", before)).join(shorter, "short"), F.col("below")
         shared = (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * below) / F.col("total")
-        estimate = written(joined.select("key", shared.alias("shared")), f"shared-{size}")
+        estimate, before = joined.select("key", shared.alias("shared")), size
     return estimate
 
 
@@ -169,10 +171,9 @@ def log_ratios(grams: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFram
         seen = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")
         return F.when(F.col(f"{c}_total") > 0, seen).otherwise(0.0) + left(c) * F.col("shared")
 
-    short = F.expr(f"key & {(1 << 8 * (ORDER - 1)) - 1}L")
     rated = (
         labelled.join(contexts, "context")
-        .withColumn("short", short)
+        .withColumn("short", _suffix("key", SHORTER[0]))
         .join(shared.select(F.col("key").alias("short"), "shared"), "short")
         .select("key", F.expr("toxic + ordinary").alias("seen"), F.log(chance("toxic") / chance("ordinary")).alias("ratio"))
     )
