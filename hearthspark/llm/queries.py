@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontamination, simhash, substrings, token_columns, toxicity
+from hearthspark.llm import decontamination, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -17,6 +17,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and how alike they are."""
+    found = sketches.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketches.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketches.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -71,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_sketch": op7_sketch,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
@@ -88,7 +103,31 @@ def _shingles_sql(table: str, key: str) -> str:
         FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0"""
 
 
+def _sketch_sql(text: str) -> str:
+    low = f"translate({text}, '{_LETTERS.upper()}', '{_LETTERS}')"
+    return f"""(SELECT list_sort(list_distinct(list_filter(h, lambda x: x < '20' OR x = list_min(h)))) FROM (
+        SELECT list_transform(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 4, 1) + 1 END),
+            lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16)) AS h
+        FROM (SELECT list_filter(regexp_split_to_array({low}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w)))"""
+
+
+def _containment_sql(a: str, b: str) -> str:
+    return f"""CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN least(len({a}), len({b})) = 0 THEN 0.0
+        ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b})) END::DOUBLE"""
+
+
 CHECKS: dict[str, str] = {
+    "op7_sketch": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, coalesce(lead(t) OVER o, first(t) OVER o) AS n FROM d
+    WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, md5(t) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, t, n, left(t, length(t) - length(t) // 2) || left(n, length(t) // 2) AS e FROM p),
+s AS (SELECT doc_id, t, e, {_sketch_sql("t")} AS a, {_sketch_sql("e")} AS b, {_sketch_sql("n")} AS c FROM e)
+SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fingerprint,
+    array_to_string(b, '') AS edited_fingerprint, {_containment_sql("a", "b")} AS near_edited,
+    {_containment_sql("a", "c")} AS near_next
+FROM s
+""",
     "op3_decontamination": f"""
 WITH d AS ({_shingles_sql("documents", "doc_id")}),
 i AS ({_shingles_sql("benchmark", "item_id")}),
