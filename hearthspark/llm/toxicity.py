@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ ORDER = 8
 SHORTER = 5, 3, 1
 DISCOUNT = 0.75
 #: Buckets of log ratios, and of the ratios of contexts alone, as powers of two.
-TABLE, CONTEXTS = 22, 21
+TABLE, CONTEXTS = 21, 20
 #: Share of the words of a toxic text that are taken to be of its class; the others are ordinary words.
 OWN_WORDS = 0.02
 #: A word whose log ratio is above this speaks for the toxic class.
@@ -188,7 +189,7 @@ def log_ratios(grams: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFram
 def buckets(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and check value of each key."""
     h = mix(keys.astype(np.uint64), 11)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.int32) + 1
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0x7FFF)).astype(np.uint16) + np.uint16(1)
 
 
 @dataclass
@@ -220,7 +221,7 @@ def _fixed(rated: DataFrame, bits: int) -> Table:
         .select("at", "best.check", "best.ratio")
     )
     found = best.toArrow()
-    table = Table(bits, np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.float32))
+    table = Table(bits, np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float16))
     at = found["at"].to_numpy()
     table.check[at] = found["check"].to_numpy()
     table.ratio[at] = found["ratio"].to_numpy()
@@ -257,10 +258,9 @@ def features(texts: list[bytes], grams: Table, contexts: Table) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Two tables, and the regression on FEATURES: means, spreads, weights and offset."""
+    """The tables of n-grams and contexts, sent to the tasks, and the regression on FEATURES."""
 
-    grams: Table
-    contexts: Table
+    sent: Broadcast
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -288,9 +288,7 @@ def _regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def _features_column(text: Column, grams: Table, contexts: Table) -> Column:
-    sent = _send((grams, contexts))
-
+def _features_column(text: Column, sent: Broadcast) -> Column:
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def rate(text: pa.Array) -> pa.Array:
         parts = [features(some, *sent.value) for _, some in batches(text)]
@@ -301,13 +299,6 @@ def _features_column(text: Column, grams: Table, contexts: Table) -> Column:
     return rate(text)
 
 
-def _send(value):
-    """A broadcast of values whose size is fixed by TABLE and CONTEXTS."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().sparkContext.broadcast(value)
-
-
 def with_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     """``docs`` with the label of each doc_id as ``__label`` (the largest where there are several), or null."""
     one = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
@@ -333,22 +324,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counted = rows.withColumn("__label", F.when(part.isin(1, 2, 3), F.col("__label")))
     grams = written(gather(counted, text, "__label"), "grams")
     rated, alone = log_ratios(grams, shared_estimates(grams))
-    tables = _fixed(rated, TABLE), _fixed(alone, CONTEXTS)
+    sent = docs.sparkSession.sparkContext.broadcast((_fixed(rated, TABLE), _fixed(alone, CONTEXTS)))
     sample = rows.filter((part == 4) & F.col("__label").isNotNull())
     many = sample.count()
     if many > FIT_ROWS:
         share = int(FIT_ROWS / many * (1 << 31))
         sample = sample.filter(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 31)) < share)
-    got = sample.select(_features_column(F.col(text), *tables).alias("x"), F.col("__label").alias("y")).toArrow()
+    got = sample.select(_features_column(F.col(text), sent).alias("x"), F.col("__label").alias("y")).toArrow()
     y = got["y"].to_numpy().astype(np.float64)
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         zeros = np.zeros(len(FEATURES))
-        return Model(*tables, zeros, zeros + 1, zeros, float(np.log(share / (1 - share))))
+        return Model(sent, zeros, zeros + 1, zeros, float(np.log(share / (1 - share))))
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
     weights, offset = _regression((x - mean) / spread, y)
-    return Model(*tables, mean, spread, weights, offset)
+    return Model(sent, mean, spread, weights, offset)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -357,12 +348,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null and empty texts, and texts without letters, score what no evidence gives. A column of that name is
     replaced; all others are kept; rows that repeat stay.
     """
-    sent = _send(model)
 
     @F.arrow_udf(T.DoubleType())
     def rate(text: pa.Array) -> pa.Array:
-        m = sent.value
-        parts = [m.probability(features(some, m.grams, m.contexts)) for _, some in batches(text)]
+        parts = [model.probability(features(some, *model.sent.value)) for _, some in batches(text)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), type=pa.float64())
 
     return docs.withColumn("toxicity", rate(F.col(text)))
