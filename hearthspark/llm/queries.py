@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontamination, simhash, sketches, substrings, token_columns, toxicity
+from hearthspark.llm import decontamination, sharding, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -35,6 +35,15 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by near equal bytes."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit(""))))
+    return sharding.shard(docs, carry=["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier place has, and what was removed."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -82,6 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
