@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontamination, sharding, simhash, sketches, substrings, token_columns, toxicity
+from hearthspark.llm import decontamination, languages, sharding, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -56,6 +56,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("body")
 
 
+def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of the rows."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = languages.predict(docs.select("doc_id", "text"), languages.fit(docs))
+    return found.select(
+        "doc_id",
+        (languages.fold(F.col("doc_id")) == 2).alias("held_out"),
+        F.col("nearest").alias("lang_pred"),
+        "score",
+        "distance",
+        "rejected",
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the labelled rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -94,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
+    "op4_languages": op4_languages,
     "op6_toxicity": op6_toxicity,
     "op7_sketch": op7_sketch,
     "op8_bpe": op8_bpe,
