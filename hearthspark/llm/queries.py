@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontamination, languages, sharding, simhash, sketches, substrings, token_columns, toxicity
+from hearthspark.llm import decontamination, languages, quality, sharding, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -70,6 +70,12 @@ def op4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document, and whether it is in the sample."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return quality.resample(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels of four fifths of the labelled rows."""
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_decontamination": op3_decontamination,
     "op4_languages": op4_languages,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_sketch": op7_sketch,
     "op8_bpe": op8_bpe,
