@@ -72,7 +72,7 @@ class Sentences:
         self.start = start[heads]
         final = np.ones(len(heads), dtype=bool)
         final[:-1] = self.text[1:] != self.text[:-1]
-        self.end = np.concatenate([self.start[1:], [0]])
+        self.end = np.concatenate([self.start[1:], [0]])[: len(heads)]
         self.end[final] = self.finish[self.text[final]]
         place = np.arange(n) - np.repeat(heads, self.words)
         self.hashes = [self._fold(mix(hashes, salt), place, heads) for salt in (1, 2)]
