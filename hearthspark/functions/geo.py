@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180.0
-GRID_DEGREES = 0.1
+# Sides of the grids' cells in degrees; a circle uses the finest that covers it with MOST_CELLS.
+GRIDS = 0.1, 1.0, 10.0
+MOST_CELLS = 1024
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
@@ -25,34 +27,51 @@ def reach(lat_span: Column, lon_span: Column) -> Column:
     return (lat_span + lon_span) / 2 * KM_PER_DEGREE + 1e-6
 
 
-def grid_cell(lat: Column, lon: Column) -> Column:
+def _name(grid: int, row: Column, column: Column) -> Column:
+    """Cells are named by their grid, row and column; columns go round the globe."""
+    around = round(360 / GRIDS[grid])
+    return F.concat_ws(":", F.lit(f"cell{grid}"), row.cast("string"), F.pmod(column, F.lit(around)).cast("string"))
+
+
+def grid_cell(lat: Column, lon: Column, grid: int = 0) -> Column:
     """Name of the grid cell a point falls in; null coordinates have none."""
-    return F.concat_ws(
-        ":", F.lit("cell"),
-        F.floor(lat / GRID_DEGREES).cast("string"), F.floor(lon / GRID_DEGREES).cast("string"),
-    )
+    named = _name(grid, F.floor(lat / GRIDS[grid]), F.floor(lon / GRIDS[grid]))
+    return F.when(lat.isNotNull() & lon.isNotNull(), named).otherwise(f"cell{grid}")
+
+
+def grid_cells(lat: Column, lon: Column) -> Column:
+    """The point's cell in every grid."""
+    return F.array(*[grid_cell(lat, lon, grid) for grid in range(len(GRIDS))])
 
 
-def covering_cells(lat: Column, lon: Column, radius_km: Column, most: int = 4096) -> Column:
-    """Names of the cells that a circle can touch; null when they are too many
-    or cross the date line, and the caller must then look everywhere."""
+def covering_cells(lat: Column, lon: Column, radius_km: Column) -> Column:
+    """Names of the cells that a circle can touch, of the finest grid in which they are not too many.
+
+    Across the date line columns go on from the other side; a circle that
+    holds a pole touches all columns. The coarsest grid covers the globe with
+    fewer cells than MOST_CELLS, so there is always an answer.
+    """
     lat_reach = radius_km / KM_PER_DEGREE + 1e-6
-    far_lat = F.least(F.abs(lat) + lat_reach, F.lit(89.0))
-    lon_reach = lat_reach / F.cos(F.radians(far_lat)) + 1e-6
-    rows = [F.floor((lat + sign * lat_reach) / GRID_DEGREES) for sign in (-1, 1)]
-    cols = [F.floor((lon + sign * lon_reach) / GRID_DEGREES) for sign in (-1, 1)]
-    usable = (
-        (F.abs(lat) + lat_reach < 89.0)
-        & (F.abs(lon) + lon_reach < 180.0)
-        & ((rows[1] - rows[0] + 1) * (cols[1] - cols[0] + 1) <= most)
-    )
-    names = F.flatten(
+    far_lat = F.abs(lat) + lat_reach
+    lon_reach = F.when(far_lat < 89.0, lat_reach / F.cos(F.radians(F.least(far_lat, F.lit(89.0)))) + 1e-6).otherwise(180.0)
+    south, north = F.greatest(lat - lat_reach, F.lit(-90.0)), F.least(lat + lat_reach, F.lit(90.0))
+    covers = F.lit(None).cast("array<string>")
+    for grid in reversed(range(len(GRIDS))):
+        side, around = GRIDS[grid], round(360 / GRIDS[grid])
+        rows = F.floor(south / side), F.floor(north / side)
+        first = F.floor((lon - lon_reach) / side)
+        last = F.least(F.floor((lon + lon_reach) / side), first + (around - 1))
+        many = (rows[1] - rows[0] + 1) * (last - first + 1)
+        names = _cover(grid, *rows, first, last)
+        covers = names if grid == len(GRIDS) - 1 else F.when(many <= MOST_CELLS, names).otherwise(covers)
+    return covers
+
+
+def _cover(grid: int, bottom: Column, top: Column, first: Column, last: Column) -> Column:
+    """Names of all cells in these rows and columns."""
+    return F.flatten(
         F.transform(
-            F.sequence(rows[0], rows[1]),
-            lambda y: F.transform(
-                F.sequence(cols[0], cols[1]),
-                lambda x: F.concat_ws(":", F.lit("cell"), y.cast("string"), x.cast("string")),
-            ),
+            F.sequence(bottom, top),
+            lambda y: F.transform(F.sequence(first, last), lambda x: _name(grid, y, x)),
         )
     )
-    return F.when(usable, names)

@@ -2,67 +2,90 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# From this many rows on, an approximate quantile first narrows the range.
-_NARROW_FROM = 1_000_000
-_MARGIN = 0.001
+# Bins of a narrowing step, and rows from which on they are simply sorted.
+_BINS, _FEW = 1024, 10_000
+# Bands of running totals.
+_BANDS = 256
 
 
-def exact_quantile(df: DataFrame, value: Column, p: float, name: str = "quantile") -> DataFrame:
-    """One row: the linearly interpolated quantile of the non-null values.
+def nth_smallest(values: DataFrame, value: str, n: int) -> float:
+    """The exact n-th smallest of a column of numbers, counted from 1.
 
-    Large inputs are read twice.  The sketch of the first pass gives a range
-    that is sure to hold the wanted ranks (its error is a tenth of the margin);
-    the second pass counts what lies below that range and ranks only the
-    distinct values within it, already grouped with their counts.
+    Equal bins over the range that must hold it are counted and the bin with
+    the wanted rank becomes the next range, down to its own ends, until few
+    rows are left. A step reads the column once and returns at most _BINS
+    rows; ties, however many, are one value and end the search.
     """
-    values = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull())
-    around = F.percentile_approx(
-        "v", F.array(F.lit(max(0.0, p - _MARGIN)), F.lit(min(1.0, p + _MARGIN))), int(10 / _MARGIN)
-    )
-    narrow = F.count(F.lit(1)) >= _NARROW_FROM
-    overview = values.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.when(narrow & F.lit(p > _MARGIN), around[0]).alias("low"),
-        F.when(narrow & F.lit(p < 1 - _MARGIN), around[1]).alias("high"),
-    ).select(F.struct("rows", "low", "high").alias("o"))
-    bounded = values.withColumn("o", overview.scalar())
-    under = F.coalesce(F.col("v") < F.col("o.low"), F.lit(False))
-    over = F.coalesce(F.col("v") > F.col("o.high"), F.lit(False))
-    # Values below the range collapse into one row; those above are not needed.
-    grouped = (
-        bounded.filter(~over)
-        .groupBy(F.when(~under, F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first("o.rows").alias("rows"))
-    )
-    upto = F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first()))
-    spot = (F.col("rows") - 1) * F.lit(p)
-    ranked = grouped.select("v", "c", "rows", upto.alias("upto"))
+    low, high = values.agg(F.min(value), F.max(value)).first()
+    below = 0
+    while low < high:
+        inside = values.filter(F.col(value).between(low, high))
+        width = (high - low) / _BINS
+        if low + width == low:
+            break
+        at = F.least(F.floor((F.col(value) - low) / width), F.lit(_BINS - 1))
+        bins = inside.groupBy(at.alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("a"), F.max(value).alias("b")
+        )
+        for found in sorted(bins.collect(), key=lambda r: r.bin):
+            if below + found.n >= n:
+                break
+            below += found.n
+        low, high = found.a, found.b
+        if found.n <= _FEW:
+            break
+    if low == high:
+        return low
+    rest = values.filter(F.col(value).between(low, high)).select(value)
+    return rest.orderBy(value).limit(n - below).agg(F.max(value)).first()[0]
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
 
-    return ranked.agg(
-        at(F.floor(spot)).alias("a"),
-        at(F.ceil(spot)).alias("b"),
-        F.max(spot - F.floor(spot)).alias("w"),
-    ).select((F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias(name))
+def exact_quantile(df: DataFrame, value: Column, p: float, name: str = "quantile") -> DataFrame:
+    """One row: the linearly interpolated quantile of the values that are numbers, null if there are none."""
+    plain = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    rows = plain.count()
+    found = None
+    if rows:
+        spot = (rows - 1) * p
+        a, b = (nth_smallest(plain, "v", int(rank) + 1) for rank in (math.floor(spot), math.ceil(spot)))
+        found = a + (b - a) * (spot - math.floor(spot))
+    return df.sparkSession.createDataFrame([(found,)], f"`{name}` double")
 
 
 def median_of_positives(df: DataFrame, column: str) -> DataFrame:
     return exact_quantile(df, F.when(F.col(column) > 0, F.col(column)), 0.5, "median")
 
 
-def running_totals(df: DataFrame, value: str, weights: list[str], bands: int = 4096) -> DataFrame:
-    """Per distinct ``value`` in [0, 1]: the weights at it and the totals below it.
+def _band(value: Column, splitters: list[float]) -> Column:
+    """How many of the ascending splitters are at or below the value, by halving."""
+    if not splitters:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, splitters))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(splitters).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= len(splitters)) & (F.get(listed, at + step - 1) <= value), at + step
+        ).otherwise(at),
+    )
+
+
+def running_totals(df: DataFrame, value: str, weights: list[str]) -> DataFrame:
+    """Per distinct ``value``: the weights at it and the totals below it.
 
-    Ranks come from two levels: totals of ``bands`` equal ranges are summed up
-    in one small window, and within a band a window of its own goes on from
-    there, so no task sorts all values.
+    Ranks come from two levels: the totals of bands between quantiles of the
+    values are summed up in one window of _BANDS rows, and within a band a
+    window of its own goes on from there, so no task sorts all values, however
+    close together they lie.
     """
-    band = F.floor(F.col(value) * bands)
+    shares = [k / _BANDS for k in range(1, _BANDS)]
+    cuts = df.filter(F.col(value).isNotNull()).agg(F.percentile_approx(value, shares, 20 * _BANDS)).first()[0]
+    band = _band(F.col(value), sorted(set(cuts or [])))
     grouped = df.groupBy(value).agg(*[F.sum(w).alias(w) for w in weights]).withColumn("band", band)
     by_band = grouped.groupBy("band").agg(*[F.sum(w).alias(f"band_{w}") for w in weights])
     earlier = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +93,7 @@ def running_totals(df: DataFrame, value: str, weights: list[str], bands: int = 4
         "band", *[F.coalesce(F.sum(f"band_{w}").over(earlier), F.lit(0)).alias(f"offset_{w}") for w in weights]
     )
     within = Window.partitionBy("band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.join(offsets, "band").select(
+    return grouped.join(F.broadcast(offsets), "band").select(
         value,
         *weights,
         *[

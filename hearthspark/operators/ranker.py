@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -10,17 +13,20 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hearthspark.functions import codes
 from hearthspark.operators import features, quantiles, recommend
 from hearthspark.session import use_checkpoints
 
+# Inputs of the two models, label, tree count, depth, learning rates, seed, blend.
 INTERACTION_FEATURES = [
     "price", "size_sqft", "beds_int", "bath_int", "freshness_score", "trust_score", "smart_popularity_score",
     "view_count",
 ]
-LISTING_FEATURES = INTERACTION_FEATURES[:-1] + ["quality_score"]
+LISTING_FEATURES = [
+    "price", "size_sqft", "beds_int", "bath_int", "freshness_score", "trust_score", "smart_popularity_score",
+    "quality_score",
+]
 LABEL = "target_is_lead"
-
-# Tree count, depth, learning rates, seed, blend.
 TREES, DEPTH, SEED = 100, 5, 42
 INTERACTION_RATE, LISTING_RATE = 0.05, 0.1
 CANDIDATE_SHARE, LEAD_SHARE = 0.60, 0.40
@@ -28,31 +34,33 @@ CANDIDATE_SHARE, LEAD_SHARE = 0.60, 0.40
 
 # --- data ----------------------------------------------------------------------
 
-def sample_interactions(model: DataFrame, n: int = 1000, lead_rate: float = 0.1, seed: int = SEED, buckets: int = 1024) -> DataFrame:
-    """``n`` listing ids drawn with replacement, each a lead with the given rate.
+def digest(text: Column) -> Column:
+    """A whole number below 2 ** 48 that stands for a text: the first 12 figures of its MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+
+
+def sample_interactions(model: DataFrame, n: int = 1000, lead_percent: int = 10, seed: int = SEED, buckets: int = 1024) -> DataFrame:
+    """``n`` listing ids drawn with replacement, each a lead with the given chance.
 
     A draw is a number below the table's size.  Ids are numbered by hash
     bucket and place within it, so the same draws come from any partitioning
-    and no task orders all ids.
+    and no task orders all ids.  An empty table gives no draws.
     """
-    ids = model.select("property_listing_id").withColumn(
-        "bucket", F.pmod(F.xxhash64("property_listing_id"), F.lit(buckets)).cast("int")
-    )
+    ids = model.select("property_listing_id").withColumn("bucket", digest(F.col("property_listing_id")) % buckets)
     sizes = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     upto = F.sum("size").over(Window.orderBy("bucket"))
     ends = sizes.select("bucket", "size", upto.alias("end"))
     table = ends.agg(F.sort_array(F.collect_list(F.struct("end", "bucket", "size"))).alias("t")).scalar()
 
-    def uniform(stream: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(stream)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    def drawn(stream: int) -> Column:
+        return digest(F.concat(F.col("id").cast("string"), F.lit(f":{stream}")))
 
-    spot = F.floor(uniform(seed) * F.element_at("t", -1)["end"])
     draws = (
         model.sparkSession.range(n)
         .withColumn("t", table)
-        .withColumn("spot", spot)
-        .withColumn("lead", (uniform(seed + 1) < lead_rate).cast("int"))
-        .withColumn("hit", F.element_at(F.filter("t", lambda e: e["end"] > F.col("spot")), 1))
+        .withColumn("spot", F.try_mod(drawn(seed), F.try_element_at("t", F.lit(-1))["end"]))
+        .withColumn("lead", (drawn(seed + 1) % 100 < lead_percent).cast("int"))
+        .withColumn("hit", F.get(F.filter("t", lambda e: e["end"] > F.col("spot")), 0))
         .select("id", "lead", F.col("hit.bucket").alias("bucket"),
                 (F.col("hit.end") - F.col("spot")).alias("place"))
     )
@@ -62,6 +70,14 @@ def sample_interactions(model: DataFrame, n: int = 1000, lead_rate: float = 0.1,
     )
 
 
+def event_interactions(event: DataFrame) -> DataFrame:
+    """Every event of a listing as an interaction, a lead or not."""
+    return event.filter(F.col("listing_web_id").isNotNull()).select(
+        F.col("listing_web_id").alias("property_listing_id"),
+        F.col("event_name").isin(*codes.LEAD_EVENTS).cast("bigint").alias(LABEL),
+    )
+
+
 def training_set(interactions: DataFrame, model: DataFrame) -> DataFrame:
     """Interactions with the features of their listing; deleted listings drop out."""
     listed = model.drop(LABEL)
@@ -74,7 +90,7 @@ def with_split(df: DataFrame, key: Column, parts: int = 5) -> DataFrame:
 
 
 def split_key() -> Column:
-    return F.xxhash64("property_listing_id", F.lit(SEED))
+    return digest(F.col("property_listing_id"))
 
 
 # --- training and scoring --------------------------------------------------------
@@ -145,12 +161,15 @@ def ai_score(df: DataFrame, model: PipelineModel, as_of) -> DataFrame:
     """Adds ``ai_score``: the lead probability as a percentage.
 
     The model was trained on the stepwise freshness, so scoring uses that too;
-    a listing whose probability is missing gets half its search freshness.
+    a listing with an input that is missing or no number cannot be scored and
+    gets half its search freshness.
     """
     fresh = features.add_freshness(df, as_of)
-    scored = probability(fresh, model)
+    read = [F.col(c).cast("double") for c in inputs_of(model) if c in df.columns]
+    usable = reduce(and_, [value.isNotNull() & ~F.isnan(value) for value in read], F.lit(True))
+    scored = probability(fresh.withColumn("_usable", usable), model)
     fallback = features.search_freshness(df, as_of) * 50
-    score = F.coalesce(F.col("lead_probability") * 100, fallback)
+    score = F.when(F.col("_usable"), F.col("lead_probability") * 100).otherwise(fallback)
     return scored.withColumn("ai_score", score).select(*df.columns, "ai_score")
 
 

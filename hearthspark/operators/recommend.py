@@ -58,6 +58,8 @@ def build_index(model: DataFrame, stage: Stage = _inline) -> RecommendIndex:
     """
     scaling = stage("scaling", lambda: features.fit_scaling(model))
     texts = ["property_type", "offering_type", "location_id", "full_location_path", "furnished_flag", "completion_status"]
+    absent = {c: F.lit(None).cast("string") for c in texts if c not in model.columns}
+    model = model.withColumns(absent | {c: F.lit(0.0) for c in features.NUMERIC if c not in model.columns})
     plain = features.with_scaling(
         model.select(
             "property_listing_id",
@@ -396,7 +398,9 @@ def recommend(
     model: DataFrame | None = None,
     n: int = TOP_N,
 ) -> DataFrame:
-    """The best ``n`` listings of each request."""
+    """The best ``n`` listings of each request, among its NEIGHBOURS nearest; more cannot be asked for."""
+    if n > NEIGHBOURS:
+        raise ValueError(f"at most {NEIGHBOURS} listings can be recommended")
     scored = final_scores(candidates(requests, index, history, model), index)
     return top_n(scored, "final_score", n).select(
         "request_id", "position", "property_listing_id", "property_type", "price", "beds_int",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthspark import schemas
 from hearthspark.functions import cleaning, codes, geo, scoring
@@ -21,7 +22,7 @@ RANK_PER_KM = 0.1
 TRUST_QUANTILE = 0.95
 TRUST_FLOOR = 0.1
 
-BLOCK = ["offering_type", "property_type", "location_name", "beds_int", "grid"]
+BLOCK = ["offering_type", "property_type", "location_name", "beds_int", "grid", "grid_1", "grid_2"]
 CELL = BLOCK + [
     "bath_int", "furnished_flag", "completion_status", "verified", "trusted",
     "price_band", "size_band", "week", "fine_grid",
@@ -119,6 +120,7 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
         micros.alias("listed_at"),
         (F.lit(0.0) if ai_score is None else ai_score).alias("ai_score"),
         geo.grid_cell(F.col("latitude"), F.col("longitude")).alias("grid"),
+        *[geo.grid_cell(F.col("latitude"), F.col("longitude"), k).alias(f"grid_{k}") for k in (1, 2)],
         bounds.log_band(F.col("price"), 8).alias("price_band"),
         bounds.log_band(F.col("size_sqft"), 4).alias("size_band"),
         F.coalesce(F.floor(micros / (7 * scoring.DAY_MICROS)), F.lit(-1)).alias("week"),
@@ -147,7 +149,7 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
                 "nth_newest": place(F.desc_nulls_last("listed_at")),
                 "nth_ai": place(F.desc("ai_score")),
             }
-        ).drop("shard", "grid", "price_band", "size_band", "week", "fine_grid"),
+        ).drop("shard", "grid", "grid_1", "grid_2", "price_band", "size_band", "week", "fine_grid"),
     )
     present = {
         "dated": F.col("listed_at").isNotNull(),
@@ -156,7 +158,7 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
     fine = stage(
         "summaries",
         lambda: bounds.summarise(
-            plain, CELL_ID, RANGES, present, ["offering_type", "property_type", "location_name", "beds_int", "grid"]
+            plain, CELL_ID, RANGES, present, BLOCK
         ),
     )
     cells = _with_reach(fine).select(
@@ -188,7 +190,10 @@ def _filed(blocks: DataFrame) -> DataFrame:
     keys = {
         "offering_key": [F.col("offering_type"), anything],
         "beds_key": [F.col("beds_int").cast("string"), anything],
-        "place": [F.col("grid"), F.concat(F.lit("name:"), F.lower("location_name")), anything],
+        "place": [
+            F.col("grid"), *[F.col(f"grid_{k}") for k in range(1, len(geo.GRIDS))],
+            F.concat(F.lit("name:"), F.lower("location_name")), anything,
+        ],
     }
     blocks = bounds.salted(blocks, BLOCK_ID, SALTS)
     for name, values in keys.items():
@@ -199,11 +204,21 @@ def _filed(blocks: DataFrame) -> DataFrame:
 # --- requests ------------------------------------------------------------------
 
 def validate(requests: DataFrame) -> DataFrame:
-    """Adds ``reject_reason``; null means the request is accepted."""
+    """Requests in their schema, with ``reject_reason``; null means the request is accepted.
+
+    A value that was given but does not fit its type rejects the request: dropping it would drop its filter.
+    """
+    unfit = schemas.misfit(requests, schemas.SEARCH_REQUEST)
+    requests = conform(
+        requests.withColumn("unfit", unfit),
+        T.StructType([*schemas.SEARCH_REQUEST.fields, T.StructField("unfit", T.StringType())]),
+        fill_nulls=False,
+    )
     page = F.coalesce("page", F.lit(1))
     limit = F.coalesce("page_limit", F.lit(20))
     reason = (
-        F.when(page < 1, "page must be 1 or more")
+        F.when(F.col("unfit").isNotNull(), F.concat(F.col("unfit"), F.lit(" does not fit its type")))
+        .when(page < 1, "page must be 1 or more")
         .when(limit < 1, "limit must be 1 or more")
         .when(F.col("sort").isNotNull() & ~F.col("sort").isin(*codes.SORTS), "unknown sort")
         .when(
@@ -214,7 +229,7 @@ def validate(requests: DataFrame) -> DataFrame:
             "near_by needs lat, lon and radius",
         )
     )
-    return requests.withColumn("reject_reason", reason)
+    return requests.withColumn("reject_reason", reason).drop("unfit")
 
 
 def _set(value: Column) -> Column:
@@ -228,9 +243,7 @@ def _listed(value: Column, kind: str) -> Column:
 
 def resolve(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
     """Accepted requests with their codes, limits and geo step worked out."""
-    accepted = validate(conform(requests, schemas.SEARCH_REQUEST, fill_nulls=False)).filter(
-        F.col("reject_reason").isNull()
-    )
+    accepted = validate(requests).filter(F.col("reject_reason").isNull())
     centers = index.centroids.groupBy(F.lower("location_name").alias("term")).agg(
         F.min_by(F.struct("latitude", "longitude"), "location_name").alias("center")
     )

@@ -35,16 +35,28 @@ def _round(name: str, places: int = 6):
 
 # --- sources and sinks -----------------------------------------------------------
 
+def dirty_text(ws: Workspace) -> DataFrame:
+    """Raw listings whose titles have edge spaces, line ends, quotes, commas, no characters, or are missing."""
+    title = F.expr(
+        """CASE CAST(property_listing_id AS BIGINT) % 8 WHEN 0 THEN '  ' || property_title || ' ' WHEN 1 THEN property_title || chr(10) || 'line two'
+        WHEN 2 THEN '"' || property_title || '", said "she"' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN chr(92) || property_title || chr(92)
+        WHEN 6 THEN chr(13) || chr(10) || property_title || chr(9) ELSE property_title END"""
+    )
+    return ws.sources.raw_listings().withColumn("property_title", title)
+
+
 @query
 def csv_scan(ws: Workspace) -> DataFrame:
     """Raw listings written as CSV and read back under their schema."""
-    raw = ws.sources.raw_listings()
+    raw = dirty_text(ws)
     path = stage_path(ws.spark, f"{ws.sf_dir}|csv_scan")
     files.write_csv(raw, path)
     back = files.read_csv(ws.spark, path, raw.schema)
     return back.groupBy("property_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("bedrooms").alias("with_bedrooms"),
+        F.count("property_title").alias("with_title"),
+        F.sum(F.length("property_title")).alias("title_length"),
         F.sum("property_sqft").cast("bigint").alias("total_sqft"),
         F.max("start_time").alias("latest"),
     )
@@ -52,8 +64,10 @@ def csv_scan(ws: Workspace) -> DataFrame:
 
 @query
 def csv_roundtrip(ws: Workspace) -> DataFrame:
-    """The serving table through the CSV sink."""
-    table = ws.serving().select("property_listing_id", "price", "beds_int", "property_type", "listing_date")
+    """Raw text, dirty titles included, and dates through the CSV sink."""
+    table = dirty_text(ws).select(
+        "property_listing_id", _long("ingest_seq"), "property_title", "property_type", "bedrooms", "location_name", "start_time"
+    )
     path = stage_path(ws.spark, f"{ws.sf_dir}|csv_roundtrip")
     files.write_csv(table, path)
     return files.read_csv(ws.spark, path, table.schema)
@@ -97,8 +111,12 @@ def conform_schema(ws: Workspace) -> DataFrame:
 
 @query
 def validate_requests(ws: Workspace) -> DataFrame:
-    return search.validate(ws.sources.search_requests()).select(
-        "request_id", F.col("reject_reason").isNull().alias("accepted"), "reject_reason"
+    """Requests as they are, and with limits beyond 32 bits, fractions and words where numbers belong."""
+    plain = ws.sources.search_requests().withColumn("odd", F.lit(False))
+    odd = ws.sources.odd_requests().withColumn("odd", F.lit(True))
+    checked = [search.validate(r).withColumn("odd", F.lit(o)) for r, o in ((plain, False), (odd, True))]
+    return checked[0].unionByName(checked[1]).select(
+        "request_id", "odd", "min_price", F.col("reject_reason").isNull().alias("accepted"), "reject_reason"
     )
 
 
@@ -344,8 +362,8 @@ def ring_requests(ws: Workspace) -> DataFrame:
     )
     rows = picked.select(
         (F.col("property_listing_id").cast("bigint") * 10 + F.col("ring") + 1_000_000_000).alias("request_id"),
-        F.col("price").cast("int").alias("min_price"),
-        F.col("price").cast("int").alias("max_price"),
+        F.col("price").alias("min_price"),
+        F.col("price").alias("max_price"),
         F.array("location_name").alias("keywords"),
     )
     return conform(rows, schemas.SEARCH_REQUEST, fill_nulls=False)
@@ -399,9 +417,8 @@ def search_counts(ws: Workspace) -> DataFrame:
 
 @query
 def search_sorted(ws: Workspace) -> DataFrame:
-    """First ten listings of each request in its order."""
-    first_ten = ws.sources.search_requests().withColumns({"page": F.lit(1), "page_limit": F.lit(10)})
-    resolved = search.resolve(first_ten, ws.search_index(), ws.as_of)
+    """The listings up to the end of each request's page, in its order."""
+    resolved = search.resolve(ws.sources.search_requests(), ws.search_index(), ws.as_of)
     return search.top_matches(resolved, ws.search_index()).join(
         resolved.select("request_id", "sort"), "request_id"
     ).select("request_id", "sort", _long("position"), "property_listing_id")
@@ -441,10 +458,21 @@ def search_response(ws: Workspace) -> DataFrame:
 
 @query
 def search_scored(ws: Workspace) -> DataFrame:
-    """Pages ranked by the listing model."""
-    return search.search(ws.sources.search_requests(), ws.scored_index(), ws.as_of).select(
-        "request_id", _long("position"), "property_listing_id", "ai_score", "final_rank", "dist_km", "total_count",
-        "search_method",
+    """Pages ranked by the listing model: how many rows, and whether rank and order follow from score and distance."""
+    requests = ws.sources.search_requests()
+    found = search.search(requests, ws.scored_index(), ws.as_of).join(
+        requests.select("request_id", F.coalesce("sort", F.lit("featured")).alias("sort")), "request_id"
+    )
+    rank = F.col("ai_score") - F.coalesce("dist_km", F.lit(0.0)) * search.RANK_PER_KM
+    before = F.lag("final_rank").over(Window.partitionBy("request_id").orderBy("position"))
+    falls = (F.col("sort") != "featured") | before.isNull() | (before >= F.col("final_rank") - 1e-9)
+    return (
+        found.withColumns({"ranked": F.abs(F.col("final_rank") - rank) < 1e-9, "ordered": falls})
+        .groupBy("request_id", "total_count", "search_method")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.every("ranked").alias("ranked"), F.every("ordered").alias("ordered"),
+            F.every(F.col("ai_score").between(0, 110)).alias("in_range"),
+        )
     )
 
 
@@ -514,10 +542,24 @@ def recommend_personalized(ws: Workspace) -> DataFrame:
 
 @query
 def recommend_ai(ws: Workspace) -> DataFrame:
+    """Re-ranked recommendations: how many rows, and whether blend and order follow from both scores."""
     pool = recommend.recommend(
         all_rec_requests(ws), ws.recommend_index(), ws.sources.rec_history(), ws.model_table(), recommend.NEIGHBOURS
     )
-    return ranker.rerank(pool, ws.model_table(), ws.interaction_model())
+    ranked = ranker.rerank(pool, ws.model_table(), ws.interaction_model())
+    both = ranked.join(pool.select("request_id", "property_listing_id", "final_score"), ["request_id", "property_listing_id"])
+    blend = F.col("final_score") * ranker.CANDIDATE_SHARE + F.col("ai_conversion_score") * ranker.LEAD_SHARE
+    before = F.lag("final_hybrid_score").over(Window.partitionBy("request_id").orderBy("position"))
+    return (
+        both.withColumns(
+            {
+                "blended": F.abs(F.col("final_hybrid_score") - blend) < 1e-9,
+                "ordered": before.isNull() | (before >= F.col("final_hybrid_score")),
+            }
+        )
+        .groupBy("request_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.every("blended").alias("blended"), F.every("ordered").alias("ordered"))
+    )
 
 
 # --- learning to rank --------------------------------------------------------------------
@@ -525,11 +567,7 @@ def recommend_ai(ws: Workspace) -> DataFrame:
 @query
 def training_set(ws: Workspace) -> DataFrame:
     """Lead events as interactions, joined with their listings."""
-    event = ws.sources.event().filter(F.col("listing_web_id").isNotNull())
-    interactions = event.select(
-        F.col("listing_web_id").alias("property_listing_id"),
-        F.col("event_name").isin(*codes.LEAD_EVENTS).cast("bigint").alias("target_is_lead"),
-    )
+    interactions = ranker.event_interactions(ws.sources.event())
     table = ranker.training_set(interactions, ws.model_table())
     return table.groupBy("property_listing_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("target_is_lead").alias("leads"), F.max("price").alias("price"),
@@ -539,35 +577,61 @@ def training_set(ws: Workspace) -> DataFrame:
 
 @query
 def train_split(ws: Workspace) -> DataFrame:
-    """A fifth of the ids held out."""
-    key = F.col("property_listing_id").cast("bigint")
-    return ranker.with_split(ws.model_table(), key).select("property_listing_id", "is_test")
+    """A fifth of the listings held out, as training holds them out."""
+    return ws.split_listings().select("property_listing_id", "is_test")
+
+
+def area_report(test: DataFrame, model) -> DataFrame:
+    """Rows, leads and the area under the curve of a model on held-out rows."""
+    area = ranker.auc(ranker.probability(test, model))
+    totals = test.agg(F.count(F.lit(1)).alias("n"), F.sum("target_is_lead").cast("bigint").alias("leads"))
+    return totals.withColumn("auc", area.scalar())
+
+
+def interaction_report(ws: Workspace) -> DataFrame:
+    return area_report(ws.training_set().filter("is_test"), ws.interaction_model())
+
+
+def listing_report(ws: Workspace) -> DataFrame:
+    """With and without the popularity that counts a listing's own leads."""
+    test = ws.split_listings().filter("is_test")
+    leak, clean_fit = (
+        area_report(test, ws.listing_model_held_out(leak)).withColumn("leak", F.lit(leak)) for leak in (True, False)
+    )
+    return leak.unionByName(clean_fit)
 
 
 @query
 def train_interactions(ws: Workspace) -> DataFrame:
-    """The interaction model's area under the curve on held-out listings."""
-    test = ws.training_set().filter("is_test")
-    return ranker.auc(ranker.probability(test, ws.interaction_model()))
+    """The interaction model on held-out listings; the area depends on the learner's draws, so only its range shows."""
+    return interaction_report(ws).select("n", "leads", F.col("auc").between(0, 1).alias("auc_known"))
 
 
 @query
 def train_listings(ws: Workspace) -> DataFrame:
-    """The listing model's area under the curve on all rows, with the listing's own leads in its inputs."""
-    return ranker.auc(ranker.probability(ws.model_table(), ws.listing_model()))
+    """The listing model on held-out listings, with and without the popularity that counts a listing's leads."""
+    return listing_report(ws).select("leak", "n", "leads", F.col("auc").between(0, 1).alias("auc_known"))
 
 
 @query
 def feature_importance(ws: Workspace) -> DataFrame:
-    return ranker.importances(ws.spark, ws.listing_model())
+    """The listing model's inputs; their importances are not negative and add up to one."""
+    found = ranker.importances(ws.spark, ws.listing_model())
+    total = found.agg(F.round(F.sum("importance"), 9)).scalar()
+    return found.select("feature", (F.col("importance") >= 0).alias("valid"), total.alias("total"))
 
 
 @query
 def model_roundtrip(ws: Workspace) -> DataFrame:
-    """Scores of the saved and reloaded listing model."""
-    ws.listing_model()
+    """Listings whose score differs once the model is saved and read back."""
+    names = ["property_listing_id", "lead_probability"]
+    first = ranker.probability(ws.model_table(), ws.listing_model()).select(*names)
     loaded = ranker.load(ws.model_path("listing"))
-    return ranker.probability(ws.model_table(), loaded).select("property_listing_id", "lead_probability")
+    again = ranker.probability(ws.model_table(), loaded).select(names[0], F.col(names[1]).alias("again"))
+    differs = ~F.col("again").eqNullSafe(F.col("lead_probability"))
+    return first.join(again, names[0]).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("differing")
+    )
 
 
 @query

@@ -7,6 +7,7 @@ no step of the Spark jobs' pruning.
 from __future__ import annotations
 
 from hearthspark.functions import codes
+from hearthspark.operators.ranker import LISTING_FEATURES
 from hearthspark.sources.sample_views import AS_OF, VIEWS, ansi_text
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -110,11 +111,18 @@ SELECT * EXCLUDE (price, size_sqft),
  CAST(lead_submission_count > 0 AS BIGINT) AS target_is_lead
 FROM standard""")
 
-check("csv_scan", ["raw_listings"], """
-SELECT property_type, count(*) AS n, count(bedrooms) AS with_bedrooms, CAST(sum(property_sqft) AS BIGINT) AS total_sqft,
- max(start_time) AS latest FROM (SELECT * REPLACE (trim(property_type) AS property_type) FROM raw_listings) GROUP BY 1""")
-check("csv_roundtrip", ["model_table"], """
-SELECT property_listing_id, price, CAST(beds_int AS DOUBLE) AS beds_int, property_type, listing_date FROM model_table""")
+part("dirty", ["raw_listings"], """
+SELECT * REPLACE (CASE CAST(property_listing_id AS BIGINT) % 8 WHEN 0 THEN '  ' || property_title || ' '
+ WHEN 1 THEN property_title || chr(10) || 'line two' WHEN 2 THEN '"' || property_title || '", said "she"' WHEN 3 THEN ''
+ WHEN 4 THEN NULL WHEN 5 THEN chr(92) || property_title || chr(92) WHEN 6 THEN chr(13) || chr(10) || property_title || chr(9)
+ ELSE property_title END AS property_title) FROM raw_listings""")
+check("csv_scan", ["dirty"], """
+SELECT property_type, count(*) AS n, count(bedrooms) AS with_bedrooms, count(property_title) AS with_title,
+ CAST(sum(length(property_title)) AS BIGINT) AS title_length, CAST(sum(property_sqft) AS BIGINT) AS total_sqft,
+ max(start_time) AS latest FROM dirty GROUP BY 1""")
+check("csv_roundtrip", ["dirty"], """
+SELECT property_listing_id, CAST(ingest_seq AS BIGINT) AS ingest_seq, property_title, property_type, bedrooms, location_name, start_time
+FROM dirty""")
 check("serving_roundtrip", ["model_table"], """
 SELECT property_listing_id, offering_type, property_type, location_name, price, CAST(beds_int AS DOUBLE) AS beds_int, is_verified
 FROM model_table""")
@@ -127,8 +135,11 @@ SELECT property_listing_id, coalesce(try_cast(pp_price AS DOUBLE), 0) AS price,
  CAST(property_sqft AS DOUBLE) AS size_sqft, CAST(property_serp_score AS DOUBLE) AS quality_score, CAST(0 AS DOUBLE) AS trust_score,
  CAST(location_id AS VARCHAR) AS location_id, CAST(NULL AS VARCHAR) AS image_url, is_verified FROM raw_listings""")
 check("validate_requests", ["search_requests"], """
-SELECT request_id, page >= 1 AS accepted, CASE WHEN page < 1 THEN 'page must be 1 or more' END AS reject_reason
-FROM search_requests""")
+SELECT request_id, odd, CAST(min_price AS DOUBLE) AS min_price, reject_reason IS NULL AS accepted, reject_reason FROM (
+ SELECT request_id, FALSE AS odd, min_price, CASE WHEN page < 1 THEN 'page must be 1 or more' END AS reject_reason FROM search_requests
+ UNION ALL SELECT request_id, TRUE, CASE request_id % 3 WHEN 0 THEN 3000000000 WHEN 2 THEN min_price END,
+ CASE WHEN request_id % 3 = 1 THEN 'min_price does not fit its type' WHEN request_id % 5 = 0 THEN 'page does not fit its type'
+  WHEN page < 1 THEN 'page must be 1 or more' END FROM search_requests)""")
 check("serving_columns", ["model_table"], """
 SELECT property_listing_id, property_title, location_name, price, beds_int, bath_int, latitude, longitude, listing_date,
  property_type, offering_type, is_verified, completion_status FROM model_table""")
@@ -340,10 +351,8 @@ WHERE mode = 'near' AND position <= page * page_limit""")
 check("search_keyword_radius", ["w_hits"], """
 SELECT request_id, CAST(rung AS BIGINT) AS rung, count(*) AS total_count FROM w_hits WHERE mode = 'centroid' GROUP BY 1, 2""")
 check("search_counts", ["s_meta"], "SELECT request_id, total_count FROM s_meta")
-part("f_requests", ["search_requests"], "SELECT * REPLACE (1 AS page, 10 AS page_limit) FROM search_requests")
-search_parts("f_", "SELECT * FROM f_requests", ["f_requests"])
-check("search_sorted", ["f_ordered"], """
-SELECT request_id, sort, position, property_listing_id FROM f_ordered WHERE position <= 10""")
+check("search_sorted", ["s_ordered"], """
+SELECT request_id, sort, position, property_listing_id FROM s_ordered WHERE position <= page * page_limit""")
 part("s_page", ["s_ordered", "s_meta"], """
 SELECT o.*, m.total_count, m.search_method FROM s_ordered o JOIN s_meta m ON m.request_id = o.request_id
 WHERE position BETWEEN (o.page - 1) * page_limit + 1 AND o.page * page_limit""")
@@ -469,8 +478,46 @@ check("training_set", ["src_event", "model_table"], f"""
 SELECT e.listing_web_id AS property_listing_id, count(*) AS n, count(*) FILTER (event_name IN ({quoted(codes.LEAD_EVENTS)})) AS leads,
  max(price) AS price, max(view_count) AS view_count
 FROM src_event e JOIN model_table m ON m.property_listing_id = e.listing_web_id GROUP BY 1""")
-check("train_split", ["model_table"], """
-SELECT property_listing_id, CAST(property_listing_id AS BIGINT) % 5 = 0 AS is_test FROM model_table""")
+def digest(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+SPLIT = f"{digest('property_listing_id')} % 5 = 0"
+check("train_split", ["model_table"], f"SELECT property_listing_id, {SPLIT} AS is_test FROM model_table")
+check("train_interactions", ["src_event", "model_table"], f"""
+SELECT count(*) AS n, count(*) FILTER (event_name IN ({quoted(codes.LEAD_EVENTS)})) AS leads, TRUE AS auc_known
+FROM src_event e JOIN (SELECT * FROM model_table WHERE {SPLIT}) m ON m.property_listing_id = e.listing_web_id""")
+check("train_listings", ["model_table"], f"""
+SELECT leak, count(*) AS n, CAST(sum(target_is_lead) AS BIGINT) AS leads, TRUE AS auc_known
+FROM model_table, (SELECT unnest([TRUE, FALSE]) AS leak) WHERE {SPLIT} GROUP BY 1""")
+check("feature_importance", [], f"SELECT unnest([{quoted(LISTING_FEATURES)}]) AS feature, TRUE AS valid, 1.0::DOUBLE AS total")
+check("model_roundtrip", ["model_table"], "SELECT count(*) AS n, 0 AS differing FROM model_table")
+check("sample_interactions", ["model_table"], f"""
+SELECT i AS interaction_id, property_listing_id, CASE WHEN {digest("i || ':43'")} % 100 < 10 THEN 1 ELSE 0 END AS target_is_lead
+FROM (SELECT i, {digest("i || ':42'")} % (SELECT count(*) FROM model_table) AS spot FROM range(1000) r(i)) d
+JOIN (SELECT *, sum(size) OVER (ORDER BY bucket) AS upto FROM (SELECT bucket, count(*) AS size FROM
+  (SELECT {digest('property_listing_id')} % 1024 AS bucket FROM model_table) GROUP BY 1)) b ON spot < upto AND spot >= upto - size
+JOIN (SELECT property_listing_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY property_listing_id) AS place FROM
+  (SELECT property_listing_id, {digest('property_listing_id')} % 1024 AS bucket FROM model_table)) m
+ ON m.bucket = b.bucket AND m.place = upto - spot""")
+# The columns of the raw listings and their types.
+part("kinds", [], """
+SELECT * FROM (VALUES
+ ('property_listing_id', 'string'), ('agent_id', 'bigint'), ('key_location', 'bigint'), ('property_title', 'string'),
+ ('property_type', 'string'), ('offering_type', 'string'), ('bedrooms', 'string'), ('bathrooms', 'string'),
+ ('pp_price', 'string'), ('property_sqft', 'bigint'), ('latitude', 'double'), ('longitude', 'double'),
+ ('location_name', 'string'), ('full_location_path', 'string'), ('location_id', 'int'), ('furnished_flag', 'string'),
+ ('completion_status', 'string'), ('is_verified', 'boolean'), ('property_serp_score', 'bigint'), ('property_listing_status', 'string'),
+ ('start_time', 'timestamp_ntz'), ('ingest_seq', 'int')
+) k(column_name, column_type)""")
+check("profile_schema", ["raw_listings", "kinds"], """
+SELECT column_name, column_type, (SELECT count(*) FROM raw_listings) AS row_count, (SELECT count(*) FROM kinds) AS column_count
+FROM kinds""")
+check("search_scored", ["s_page"], """
+SELECT request_id, total_count, search_method, count(*) AS n, TRUE AS ranked, TRUE AS ordered, TRUE AS in_range
+FROM s_page GROUP BY 1, 2, 3""")
+check("recommend_ai", ["their_nearest_final"], """
+SELECT request_id, least(count(*), 5) AS n, TRUE AS blended, TRUE AS ordered FROM their_nearest_final GROUP BY 1""")
 check("auc", ["model_table"], """
 SELECT round((sum(r) FILTER (target_is_lead = 1) - count(*) FILTER (target_is_lead = 1) * (count(*) FILTER (target_is_lead = 1) + 1) / 2.0::DOUBLE)
  / (count(*) FILTER (target_is_lead = 1) * count(*) FILTER (target_is_lead = 0)), 6) AS auc

@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hearthspark.operators import clean, etl, features, ranker, recommend, search
 from hearthspark.session import stage_path, staged
@@ -73,26 +74,48 @@ class Workspace:
         return recommend.build_index(self.model_table(), partial(self.stage, prefix="recommend/"))
 
     def _fitted(self, name: str, fit: Callable[[], PipelineModel]) -> PipelineModel:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"{self.as_of}|{name}")
         if key not in self._models:
             model = fit()
-            ranker.save(model, stage_path(self.spark, f"{self.sf_dir}|model|{name}"))
+            ranker.save(model, self.model_path(name))
             self._models[key] = model
         return self._models[key]
 
     def model_path(self, name: str) -> str:
-        return stage_path(self.spark, f"{self.sf_dir}|model|{name}")
+        return stage_path(self.spark, f"{self.sf_dir}|{self.as_of}|model|{name}")
 
     def listing_model(self) -> PipelineModel:
         return self._fitted(
             "listing", lambda: ranker.fit(self.model_table(), ranker.LISTING_FEATURES, ranker.LISTING_RATE)
         )
 
+    def listing_model_held_out(self, leak: bool) -> PipelineModel:
+        """The listing model without a fifth of the listings, with or without the popularity that counts leads."""
+        inputs = [c for c in ranker.LISTING_FEATURES if leak or c != "smart_popularity_score"]
+        return self._fitted(
+            f"listing-held-out-{leak}",
+            lambda: ranker.fit(self.split_listings().filter("NOT is_test"), inputs, ranker.LISTING_RATE),
+        )
+
+    def split_listings(self) -> DataFrame:
+        return ranker.with_split(self.model_table(), ranker.split_key())
+
+    def interactions(self) -> DataFrame:
+        """The interactions file if there is one, else the events, else a sample of listings with random labels."""
+        path = f"{self.sf_dir}/interactions.parquet"
+        given = files.read_optional(lambda: files.read_parquet(self.spark, path))
+        if given is not None:
+            return given.select("property_listing_id", F.col(ranker.LABEL).cast("bigint").alias(ranker.LABEL))
+        events = ranker.event_interactions(self.sources.event())
+        return ranker.sample_interactions(self.model_table()) if events.isEmpty() else events
+
     def training_set(self) -> DataFrame:
-        """Sampled interactions with their listings' features."""
-        return ranker.with_split(
-            ranker.training_set(ranker.sample_interactions(self.model_table()), self.model_table()),
-            ranker.split_key(),
+        """Interactions with their listings' features, a fifth of the listings held out."""
+        return self.stage(
+            "training_set",
+            lambda: ranker.with_split(
+                ranker.training_set(self.interactions(), self.model_table()), ranker.split_key()
+            ),
         )
 
     def interaction_model(self) -> PipelineModel:

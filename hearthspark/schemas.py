@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,9 +50,9 @@ SERVING_DEFAULTS = {
 
 SEARCH_REQUEST = T.StructType(
     _struct(
-        ("request_id", _L), ("category_id", _I), ("min_price", _I), ("max_price", _I), ("min_area", _I),
-        ("max_area", _I), ("is_super_agent", _B), ("is_verified", _B), ("furnished", _I),
-        ("completion_status", _I), ("listed_within", _I), ("sort", _S), ("page", _I), ("page_limit", _I),
+        ("request_id", _L), ("category_id", _I), ("min_price", _D), ("max_price", _D), ("min_area", _D),
+        ("max_area", _D), ("is_super_agent", _B), ("is_verified", _B), ("furnished", _I),
+        ("completion_status", _I), ("listed_within", _L), ("sort", _S), ("page", _L), ("page_limit", _L),
     ).fields
     + [
         T.StructField(name, T.ArrayType(kind), True)
@@ -97,3 +97,24 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None, f
             value = F.coalesce(value, default)
         columns.append(value.alias(field.name))
     return df.select(*columns)
+
+
+def misfit(df: DataFrame, schema: T.StructType) -> Column:
+    """The first column of the schema whose value was given but does not fit its type, or null.
+
+    A fraction does not fit a whole number, and NaN fits nothing.
+    """
+    reasons = []
+    for field in schema.fields:
+        if field.name not in df.columns:
+            continue
+        given, value = df.schema[field.name].dataType, F.col(field.name)
+        bad = F.lit(False)
+        if given != field.dataType:
+            bad = value.isNotNull() & value.try_cast(field.dataType).isNull()
+            if isinstance(field.dataType, T.IntegralType) and isinstance(given, T.FractionalType):
+                bad |= value.isNotNull() & (value != F.floor(value))
+        if isinstance(given, (T.DoubleType, T.FloatType)):
+            bad |= F.coalesce(F.isnan(value), F.lit(False))
+        reasons.append(F.when(bad, field.name))
+    return F.coalesce(*reasons, F.lit(None).cast("string"))

@@ -7,17 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# Null is written as a marker that begins with a control character, empty text as a quoted empty field.
+_WHOLE = {
+    "escape": '"', "nullValue": "\x00N", "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header; the schema is given, so the file is read once."""
-    return spark.read.csv(path, header=True, schema=schema, escape='"')
+    return spark.read.options(**_WHOLE).csv(path, header=True, schema=schema, multiLine=True, emptyValue="")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV from which ``read_csv`` gets back every value: edge spaces, line ends, quotes, empty text and null."""
+    df.write.mode("overwrite").options(**_WHOLE).csv(path, header=True, emptyValue='""')
 
 
 def write_serving(df: DataFrame, path: str) -> None:

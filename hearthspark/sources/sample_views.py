@@ -161,6 +161,12 @@ class SampleTables:
     def rec_history(self) -> DataFrame:
         return self.view("rec_history")
 
+    def odd_requests(self) -> DataFrame:
+        """The search requests as text from outside: some limits beyond 32 bits, some that are no numbers."""
+        price = "CASE request_id % 3 WHEN 0 THEN '3000000000' WHEN 1 THEN 'about 5' ELSE CAST(min_price AS STRING) END"
+        page = "CASE WHEN request_id % 5 = 0 THEN 1.5D ELSE CAST(page AS DOUBLE) END"
+        return self.view("search_requests").withColumns({"min_price": F.expr(price), "page": F.expr(page)})
+
     def search_requests(self) -> DataFrame:
         raw = self.view("search_requests")
         near = F.struct(
