@@ -27,23 +27,18 @@ def reach(lat_span: Column, lon_span: Column) -> Column:
     return (lat_span + lon_span) / 2 * KM_PER_DEGREE + 1e-6
 
 
-def _name(grid: int, row: Column, column: Column) -> Column:
+def _name(grid: Column, around: Column, row: Column, column: Column) -> Column:
     """Cells are named by their grid, row and column; columns go round the globe."""
-    around = round(360 / GRIDS[grid])
-    return F.concat_ws(":", F.lit(f"cell{grid}"), row.cast("string"), F.pmod(column, F.lit(around)).cast("string"))
+    return F.concat_ws(":", F.concat(F.lit("cell"), grid), row.cast("string"), F.pmod(column, around).cast("string"))
 
 
 def grid_cell(lat: Column, lon: Column, grid: int = 0) -> Column:
     """Name of the grid cell a point falls in; null coordinates have none."""
-    named = _name(grid, F.floor(lat / GRIDS[grid]), F.floor(lon / GRIDS[grid]))
+    side = GRIDS[grid]
+    named = _name(F.lit(str(grid)), F.lit(round(360 / side)), F.floor(lat / side), F.floor(lon / side))
     return F.when(lat.isNotNull() & lon.isNotNull(), named).otherwise(f"cell{grid}")
 
 
-def grid_cells(lat: Column, lon: Column) -> Column:
-    """The point's cell in every grid."""
-    return F.array(*[grid_cell(lat, lon, grid) for grid in range(len(GRIDS))])
-
-
 def covering_cells(lat: Column, lon: Column, radius_km: Column) -> Column:
     """Names of the cells that a circle can touch, of the finest grid in which they are not too many.
 
@@ -51,27 +46,32 @@ def covering_cells(lat: Column, lon: Column, radius_km: Column) -> Column:
     holds a pole touches all columns. The coarsest grid covers the globe with
     fewer cells than MOST_CELLS, so there is always an answer.
     """
-    lat_reach = radius_km / KM_PER_DEGREE + 1e-6
-    far_lat = F.abs(lat) + lat_reach
-    lon_reach = F.when(far_lat < 89.0, lat_reach / F.cos(F.radians(F.least(far_lat, F.lit(89.0)))) + 1e-6).otherwise(180.0)
-    south, north = F.greatest(lat - lat_reach, F.lit(-90.0)), F.least(lat + lat_reach, F.lit(90.0))
-    covers = F.lit(None).cast("array<string>")
-    for grid in reversed(range(len(GRIDS))):
-        side, around = GRIDS[grid], round(360 / GRIDS[grid])
-        rows = F.floor(south / side), F.floor(north / side)
-        first = F.floor((lon - lon_reach) / side)
-        last = F.least(F.floor((lon + lon_reach) / side), first + (around - 1))
-        many = (rows[1] - rows[0] + 1) * (last - first + 1)
-        names = _cover(grid, *rows, first, last)
-        covers = names if grid == len(GRIDS) - 1 else F.when(many <= MOST_CELLS, names).otherwise(covers)
-    return covers
-
-
-def _cover(grid: int, bottom: Column, top: Column, first: Column, last: Column) -> Column:
-    """Names of all cells in these rows and columns."""
+    reach_lat = radius_km / KM_PER_DEGREE + 1e-6
+    far = F.abs(lat) + reach_lat
+    reach_lon = F.when(far < 89.0, reach_lat / F.cos(F.radians(F.least(far, F.lit(89.0)))) + 1e-6).otherwise(180.0)
+    south, north = F.greatest(lat - reach_lat, F.lit(-90.0)), F.least(lat + reach_lat, F.lit(90.0))
+    west, east = lon - reach_lon, F.least(lon + reach_lon, lon - reach_lon + 360.0)
+
+    def many(side: float) -> Column:
+        return ((north - south) / side + 2) * ((east - west) / side + 2)
+
+    grid = F.lit(len(GRIDS) - 1)
+    for k in reversed(range(len(GRIDS) - 1)):
+        grid = F.when(many(GRIDS[k]) <= MOST_CELLS, k).otherwise(grid)
+    box = F.array(F.struct(
+        grid.alias("grid"), south.alias("south"), north.alias("north"), west.alias("west"), east.alias("east")
+    ))
+    return F.when(lat.isNotNull() & lon.isNotNull() & radius_km.isNotNull(), F.flatten(F.transform(box, _cover)))
+
+
+def _cover(box: Column) -> Column:
+    """Names of all cells that a box touches, of its grid."""
+    side = F.get(F.array(*map(F.lit, GRIDS)), box["grid"])
+    around = F.get(F.array(*[F.lit(round(360 / g)) for g in GRIDS]), box["grid"])
+    first = F.floor(box["west"] / side)
+    last = F.least(F.floor(box["east"] / side), first + around - 1)
+    rows = F.sequence(F.floor(box["south"] / side), F.floor(box["north"] / side))
+    name = box["grid"].cast("string")
     return F.flatten(
-        F.transform(
-            F.sequence(bottom, top),
-            lambda y: F.transform(F.sequence(first, last), lambda x: _name(grid, y, x)),
-        )
+        F.transform(rows, lambda y: F.transform(F.sequence(first, last), lambda x: _name(name, around, y, x)))
     )

@@ -49,12 +49,15 @@ def price_summary(df: DataFrame) -> DataFrame:
 
 
 def price_histogram(df: DataFrame, bins: int = 30, column: str = "price") -> DataFrame:
-    """Counts over equal ranges of log10(price); the top edge is in the last bin."""
+    """Counts over equal ranges of log10(price); the top edge is in the last bin.
+
+    If all prices are equal they lie in the middle of a range of their own.
+    """
     logs = df.filter(F.col(column) > 0).select(F.log10(column).alias("x"))
     edges = logs.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high"))).scalar()
     spot = F.floor(F.try_divide(F.col("x") - F.col("e.low"), F.col("e.high") - F.col("e.low")) * bins)
     return (
         logs.withColumn("e", edges)
-        .groupBy(F.coalesce(F.least(spot + 1, F.lit(bins)), F.lit(1)).cast("int").alias("bin"))
+        .groupBy(F.when(spot.isNull(), bins // 2 + 1).otherwise(F.least(spot + 1, F.lit(bins))).cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -7,10 +7,12 @@ from pyspark.sql import types as T
 
 from hearthspark import schemas
 from hearthspark.functions import cleaning, codes, geo, scoring
-from hearthspark.operators import bounds, clean, etl, features, profile, quantiles, ranker
+from hearthspark.operators import bounds, clean, etl, features, profile, quantiles, ranker, recommend, search
+from hearthspark.plans.jobs import Workspace
 from hearthspark.sources import files
 
 AS_OF = "2024-01-31 00:00:00"
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def column(df, name):
@@ -74,10 +76,10 @@ def test_keep_first_with_one_hot_id(spark):
     assert kept._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("narrow_from", [10, 10**9])
+@pytest.mark.parametrize("few", [10, 10**9])
 @pytest.mark.parametrize("p", [0.0, 0.5, 0.95, 1.0])
-def test_quantile_is_exact(spark, monkeypatch, narrow_from, p):
-    monkeypatch.setattr(quantiles, "_NARROW_FROM", narrow_from)
+def test_quantile_is_exact(spark, monkeypatch, few, p):
+    monkeypatch.setattr(quantiles, "_FEW", few)
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.lognormal(size=4000), np.full(2000, 1.25)])
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(8)
@@ -103,17 +105,95 @@ def test_haversine(spark):
     assert got == pytest.approx([np.pi * 6371, 0.0, np.pi * 6371 / 180])
 
 
-def test_covering_cells_hold_every_near_point(spark):
+@pytest.mark.parametrize(("most_lat", "most_lon", "most_km", "spread"), [(70, 170, 30, 0.2), (89, 180, 4500, 30.0)])
+def test_covering_cells_hold_every_near_point(spark, most_lat, most_lon, most_km, spread):
+    """Also far circles, circles over the date line and over a pole."""
     rng = np.random.default_rng(5)
     rows = []
     for _ in range(3000):
-        lat, lon, radius = rng.uniform(-70, 70), rng.uniform(-170, 170), rng.uniform(0.5, 30)
-        rows.append((lat, lon, radius, lat + rng.normal(scale=0.2), lon + rng.normal(scale=0.3)))
+        lat, lon, radius = rng.uniform(-most_lat, most_lat), rng.uniform(-most_lon, most_lon), rng.uniform(0.5, most_km)
+        near_lat, near_lon = np.clip(lat + rng.normal(scale=spread), -90, 90), lon + rng.normal(scale=1.5 * spread)
+        rows.append((lat, lon, radius, near_lat, (near_lon + 180) % 360 - 180))
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "lat double, lon double, r double, plat double, plon double")
     near = df.filter(geo.haversine("lat", "lon", "plat", "plon") <= F.col("r"))
     cells = geo.covering_cells(F.col("lat"), F.col("lon"), F.col("r"))
-    missed = near.filter(~F.array_contains(cells, geo.grid_cell(F.col("plat"), F.col("plon"))))
+    filed = F.array(*[geo.grid_cell(F.col("plat"), F.col("plon"), k) for k in range(len(geo.GRIDS))])
+    missed = near.filter(~F.arrays_overlap(cells, filed))
     assert near.count() > 100 and missed.count() == 0
+    assert df.agg(F.max(F.size(cells))).first()[0] <= geo.MOST_CELLS
+
+
+def test_distinct_scores_close_together_have_an_exact_area(spark):
+    rng = np.random.default_rng(8)
+    scores, labels = 0.5 + rng.random(5000) * 1e-3, rng.integers(0, 2, 5000)
+    df = spark.createDataFrame([(float(s), int(y)) for s, y in zip(scores, labels)], "s double, target_is_lead int")
+    order = scores.argsort().argsort() + 1
+    ones = labels == 1
+    want = (order[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
+    assert ranker.auc(df, "s").first()[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_histogram_of_equal_prices(spark):
+    df = spark.createDataFrame([(5.0,)] * 4, "price double")
+    assert [tuple(r) for r in profile.price_histogram(df).collect()] == [(16, 4)]
+
+
+def test_sampling_nothing(spark):
+    assert ranker.sample_interactions(spark.createDataFrame([], "property_listing_id string")).count() == 0
+
+
+def test_csv_keeps_every_value(spark, tmp_path):
+    texts = [" Villa ", "a\nb", "", None, 'q"u"o', "a\r\nb", '"', "\\N", ",x,", "a\rb", '""', "\\", "\t", "# c", "é中"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    files.write_csv(df, str(tmp_path / "c"))
+    back = files.read_csv(spark, str(tmp_path / "c"), df.schema).collect()
+    assert [r.t for r in sorted(back)] == texts
+
+
+def test_requests_that_do_not_fit_are_rejected(spark):
+    df = spark.createDataFrame(
+        [(1, "3000000000", 1.0), (2, "cheap", 1.0), (3, None, 1.5), (4, "", 1.0), (5, None, None)],
+        "request_id long, min_price string, page double",
+    )
+    found = {r.request_id: (r.min_price, r.reject_reason) for r in search.validate(df).collect()}
+    assert found[1] == (3e9, None) and found[5] == (None, None)
+    assert found[2][1] == found[4][1] == "min_price does not fit its type"
+    assert found[3][1] == "page does not fit its type"
+
+
+def test_models_of_two_dates_are_two_models(spark):
+    paths = {Workspace(spark, SF_DIR, day).model_path("listing") for day in ("2024-01-31 00:00:00", "2024-01-15 00:00:00")}
+    assert len(paths) == 2
+
+
+def test_no_more_than_the_neighbours_can_be_asked_for(ws):
+    with pytest.raises(ValueError, match="at most"):
+        recommend.recommend(ws.sources.rec_requests(), ws.recommend_index(), n=recommend.NEIGHBOURS + 1)
+
+
+def test_an_index_without_optional_columns(ws):
+    table = ws.model_table().drop("location_id", "furnished_flag", "completion_status", "bath_int")
+    found = recommend.recommend(ws.sources.rec_requests(), recommend.build_index(table))
+    assert found.count() > 0
+
+
+def test_a_listing_that_cannot_be_scored_falls_back(spark, ws):
+    table = ws.serving().limit(20).withColumn("price", F.when(F.col("property_listing_id") > "3", F.col("price")))
+    scored = ranker.ai_score(table, ws.listing_model(), ws.as_of)
+    fresh = scored.withColumn("half", features.search_freshness(scored, ws.as_of) * 50)
+    assert fresh.filter("price IS NULL AND ai_score != half").count() == 0
+    assert fresh.filter("price IS NULL").count() > 0
+
+
+def test_the_etl_inventory_can_be_searched(ws):
+    """What the ETL writes is what the search reads."""
+    serving = search.prepare(ws.inventory())
+    index = search.build_index(serving)
+    requests = ws.sources.search_requests()
+    counts = {r.request_id: r.total_count for r in search.counts(requests, index, ws.as_of).collect()}
+    asked = requests.filter("keywords IS NULL AND near_by IS NULL AND page >= 1").select("request_id").collect()
+    assert set(r.request_id for r in asked) <= set(counts)
+    assert max(counts.values()) > 0
 
 
 def test_contains_pairs_is_substring_search(spark):
