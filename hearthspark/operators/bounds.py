@@ -116,7 +116,7 @@ def keep_contenders(pairs: DataFrame, k: Column, best: list[Column], worst: list
     )
 
 
-def log_band(value: Column, per_doubling: int) -> Column:
+def log_band(value: Column, per_doubling: float) -> Column:
     """Bands of equal ratio; values of 0 or less share one."""
     return F.when(value > 0, F.floor(F.log2(value) * per_doubling)).otherwise(-1_000_000).cast("int")
 

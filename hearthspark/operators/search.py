@@ -23,14 +23,14 @@ TRUST_QUANTILE = 0.95
 TRUST_FLOOR = 0.1
 
 BLOCK = ["offering_type", "property_type", "location_name", "beds_int", "grid", "grid_1", "grid_2"]
-CELL = BLOCK + [
-    "bath_int", "furnished_flag", "completion_status", "verified", "trusted",
-    "price_band", "size_band", "week", "fine_grid",
+# A cell is a block's price band, a factor of four wide: about ten listings or more in the sample tables.
+CELL = BLOCK + ["price_band"]
+BANDS_PER_DOUBLING = 0.5
+VARYING = [
+    "price", "size_sqft", "listed_at", "ai_score", "bath_int", "furnished_flag", "completion_status", "verified",
+    "trusted",
 ]
-# Within a cell these have one value; within a block they vary.
-STEADY = ["bath_int", "furnished_flag", "completion_status", "verified", "trusted"]
-VARYING = ["price", "size_sqft", "listed_at", "ai_score"]
-RANGES = STEADY + VARYING + ["latitude", "longitude"]
+RANGES = VARYING + ["latitude", "longitude"]
 BLOCK_ID = ["block_a", "block_b"]
 CELL_ID = BLOCK_ID + ["cell_id"]
 FILED = ["offering_key", "beds_key", "place"]
@@ -121,12 +121,7 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
         (F.lit(0.0) if ai_score is None else ai_score).alias("ai_score"),
         geo.grid_cell(F.col("latitude"), F.col("longitude")).alias("grid"),
         *[geo.grid_cell(F.col("latitude"), F.col("longitude"), k).alias(f"grid_{k}") for k in (1, 2)],
-        bounds.log_band(F.col("price"), 8).alias("price_band"),
-        bounds.log_band(F.col("size_sqft"), 4).alias("size_band"),
-        F.coalesce(F.floor(micros / (7 * scoring.DAY_MICROS)), F.lit(-1)).alias("week"),
-        F.concat_ws(
-            ":", F.floor(F.col("latitude") * 100).cast("string"), F.floor(F.col("longitude") * 100).cast("string")
-        ).alias("fine_grid"),
+        bounds.log_band(F.col("price"), BANDS_PER_DOUBLING).alias("price_band"),
         F.pmod(F.xxhash64("property_listing_id"), F.lit(SHARDS)).cast("int").alias("shard"),
     ).withColumns(
         {
@@ -149,7 +144,7 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
                 "nth_newest": place(F.desc_nulls_last("listed_at")),
                 "nth_ai": place(F.desc("ai_score")),
             }
-        ).drop("shard", "grid", "grid_1", "grid_2", "price_band", "size_band", "week", "fine_grid"),
+        ).drop("shard", "grid", "grid_1", "grid_2", "price_band"),
     )
     present = {
         "dated": F.col("listed_at").isNotNull(),
@@ -163,7 +158,6 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
     )
     cells = _with_reach(fine).select(
         *CELL_ID, "beds_int", "n", *[f"n_{name}" for name in present],
-        *[F.col(f"lo_{c}").alias(c) for c in STEADY],
         *[f"{end}_{c}" for c in VARYING for end in ("lo", "hi")],
         "mid_lat", "mid_lon", "reach_km",
     )
@@ -340,7 +334,7 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
     """
 
     def ends(name: str) -> tuple[str, str]:
-        if step == "row" or (step == "cell" and name in STEADY):
+        if step == "row":
             return name, name
         return f"lo_{name}", f"hi_{name}"
 
@@ -469,7 +463,7 @@ def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
 
     blocks = _block_pairs(resolved, index)
     cells = count(settle(blocks, index.cells, BLOCK_ID), "cell", F.col("n"))
-    tested = index.rows.select(*CELL_ID, "beds_int", *STEADY, *VARYING, "latitude", "longitude")
+    tested = index.rows.select(*CELL_ID, "beds_int", *VARYING, "latitude", "longitude")
     rows = count(settle(cells, tested, CELL_ID), "row", F.lit(1))
     counted = rows.groupBy("request_id", "rung").agg(F.sum("n").alias("n"))
     return counted.groupBy("request_id").agg(
