@@ -148,7 +148,25 @@ def _containment_sql(a: str, b: str) -> str:
         ELSE len(list_intersect({a}, {b})) / least(len({a}), len({b})) END::DOUBLE"""
 
 
+#: The reflected polynomial of CRC-32, and all ones.
+_CRC, _ONES = 3988292384, 4294967295
+
 CHECKS: dict[str, str] = {
+    "op1_sharding": f"""
+WITH steps AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, {_CRC}) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS k, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT d.*, xor(list_reduce(list_prepend({_ONES}::BIGINT, list_transform(range(len(h) // 2),
+    lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), {_ONES}) AS crc
+    FROM d, steps),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(39, before * 40 // total)::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard,
+    row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s
+""",
     "op7_sketch": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT doc_id, t, coalesce(lead(t) OVER o, first(t) OVER o) AS n FROM d
