@@ -402,7 +402,7 @@ def _carried(resolved: DataFrame) -> list[str]:
     return [c for c in resolved.columns if c not in ("term", "q_offering", "q_types", "q_beds", "page", "skip", "luxury", "mode")]
 
 
-def _block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
+def block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     """Requests with the blocks that can hold matches.
 
     Offering, bedrooms and place are equality keys.  A filter that is not set
@@ -461,7 +461,7 @@ def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
             }
         )
 
-    blocks = _block_pairs(resolved, index)
+    blocks = block_pairs(resolved, index)
     cells = count(settle(blocks, index.cells, BLOCK_ID), "cell", F.col("n"))
     tested = index.rows.select(*CELL_ID, "beds_int", *VARYING, "latitude", "longitude")
     rows = count(settle(cells, tested, CELL_ID), "row", F.lit(1))
@@ -476,7 +476,7 @@ def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     best = [F.col("rung"), F.col("first_key")]
     worst = [F.col("rung_last"), F.col("last_key")]
     k = F.col("upto")
-    blocks = bounds.keep_contenders(_block_pairs(resolved, index), k, best, worst)
+    blocks = bounds.keep_contenders(block_pairs(resolved, index), k, best, worst)
     cells = bounds.keep_contenders(
         _assess(_down(blocks, resolved, index.cells, BLOCK_ID), "cell"), k, best, worst
     )
