@@ -308,7 +308,10 @@ def profile_duplicates(ws: Workspace) -> DataFrame:
 
 @query
 def profile_nulls(ws: Workspace) -> DataFrame:
-    return profile.nulls(ws.sources.raw_listings(), ["pp_price", "bedrooms", "bathrooms", "furnished_flag"])
+    """Missing values of the listings joined with their signals."""
+    merged = files.merge_signals(ws.sources.raw_listings(), etl.signals(ws.sources.event(), ws.as_of))
+    names = ["price", "location_name", "latitude", "view_count", "bedrooms", "bathrooms", "furnished_flag"]
+    return profile.nulls(clean.rename_source(merged), names)
 
 
 @query
@@ -456,6 +459,23 @@ def search_response(ws: Workspace) -> DataFrame:
     )
 
 
+@query
+def search_json(ws: Workspace) -> DataFrame:
+    """The response as JSON text, read back by path."""
+    index = ws.search_index()
+    found = search.search(ws.sources.search_requests(), index, ws.as_of)
+    sent = search.response_json(search.response(found, index, ws.as_of))
+    return sent.select(
+        "request_id", _long("position"),
+        F.get_json_object("meta", "$.total_count").cast("bigint").alias("total_count"),
+        F.get_json_object("meta", "$.search_method").alias("search_method"),
+        F.get_json_object("property", "$.id").alias("id"),
+        F.get_json_object("property", "$.price.value").cast("double").alias("price"),
+        F.get_json_object("property", "$.images[0].medium").alias("image"),
+        F.get_json_object("property", "$.agent.name").alias("agent"),
+    )
+
+
 @query
 def search_scored(ws: Workspace) -> DataFrame:
     """Pages ranked by the listing model: how many rows, and whether rank and order follow from score and distance."""

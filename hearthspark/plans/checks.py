@@ -250,9 +250,11 @@ SELECT property_listing_id, round({km('c.latitude', 'c.longitude', 'm.latitude',
 FROM model_table m JOIN centroids c ON c.location_name = m.location_name""")
 check("profile_duplicates", ["raw_listings"], """
 SELECT count(*) - count(DISTINCT property_listing_id) AS duplicate_rows FROM raw_listings""")
-check("profile_nulls", ["raw_listings"], " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count FROM raw_listings"
-    for c in ("pp_price", "bedrooms", "bathrooms", "furnished_flag")))
+part("merged", ["raw_listings", "signals"], """
+SELECT r.*, pp_price AS price, view_count FROM raw_listings r LEFT JOIN signals s ON s.property_listing_id = r.property_listing_id""")
+check("profile_nulls", ["merged"], " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count FROM merged"
+    for c in ("price", "location_name", "latitude", "view_count", "bedrooms", "bathrooms", "furnished_flag")))
 check("value_counts", ["model_table"], """
 SELECT 'quality_score' AS column_name, CAST(CAST(quality_score AS BIGINT) AS VARCHAR) AS value, count(*) AS n FROM model_table GROUP BY 2
 UNION ALL SELECT * FROM (SELECT 'property_type', property_type, count(*) FROM model_table GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5)""")
@@ -376,6 +378,10 @@ SELECT request_id, position, total_count, property_listing_id AS id, property_ti
  CASE WHEN 1 / (1 + greatest(days_old, 0) / 30.0::DOUBLE) >= 0.7 THEN 'Active' ELSE 'Standard' END AS freshness_boost,
  '{codes.DEFAULT_AGENT}' AS agent, {shown('trust_score')} >= threshold AS is_super_agent FROM s_page""")
 
+check("search_json", ["s_page"], f"""
+SELECT request_id, position, total_count, search_method, property_listing_id AS id, {shown('price')} AS price,
+ '{codes.DEFAULT_IMAGE}' AS image, '{codes.DEFAULT_AGENT}' AS agent FROM s_page""")
+
 # --- recommendation ------------------------------------------------------------------
 
 part("all_requests", ["rec_requests", "model_table"], """

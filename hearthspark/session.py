@@ -21,6 +21,8 @@ def local_session(cores: str = "8", partitions: str = "8", **conf: str) -> Spark
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
     )
+    if "spark.checkpoint.dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hearthspark-"))
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -31,8 +33,9 @@ def local_session(cores: str = "8", partitions: str = "8", **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local path would be lost with its executor.
+    ``local_session`` sets it. A local session of another make that does not
+    gets a folder of its own; on a cluster a machine-local path would be lost
+    with its executor, so the setting must be there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
