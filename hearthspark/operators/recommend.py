@@ -55,11 +55,12 @@ def build_index(model: DataFrame, stage: Stage = _inline) -> RecommendIndex:
     Listings with equal features are equally similar to any query and tie on
     id, so of such a group only the first 50 ids can be among 50 neighbours.
     Spark applies that limit per partition before it shuffles the group.
+    A feature whose column is missing is unknown, or 0, for all listings.
     """
-    scaling = stage("scaling", lambda: features.fit_scaling(model))
     texts = ["property_type", "offering_type", "location_id", "full_location_path", "furnished_flag", "completion_status"]
     absent = {c: F.lit(None).cast("string") for c in texts if c not in model.columns}
     model = model.withColumns(absent | {c: F.lit(0.0) for c in features.NUMERIC if c not in model.columns})
+    scaling = stage("scaling", lambda: features.fit_scaling(model))
     plain = features.with_scaling(
         model.select(
             "property_listing_id",
