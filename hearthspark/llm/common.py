@@ -23,8 +23,13 @@ CHUNK = 1 << 19
 _SHIPPED: set[str] = set()
 
 
+#: Rows that a Python worker gets at a time: texts are long, and both sides hold a batch several times over.
+ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, as ``--py-files`` would, once per application."""
+    """Give Python workers this package, as ``--py-files`` would, once per application, and texts in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

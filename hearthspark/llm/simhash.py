@@ -35,7 +35,9 @@ SEED = 42
 #: Radius 3 is what the emitted balls are made for.
 RADIUS = 3
 #: Word-set fingerprints of one document in ``near_copies``.
-VIEWS = 6
+VIEWS = 5
+#: Differing bits of such fingerprints up to which two texts are compared.
+FAR = 8
 #: Words of a shingle, and the share of shingles that two near copies have in common.
 COPY_SHINGLE = 5
 COPY_SIMILARITY = 0.8
@@ -127,31 +129,71 @@ def _far_masks() -> list[int]:
     return [_signed(1 << i | 1 << j) for half in (0, 32) for i in range(half, half + 32) for j in range(half, i)]
 
 
-def with_neighbours(prints: DataFrame) -> DataFrame:
-    """The rows of (node, view, fp) that share half a fingerprint, up to one bit, with another fingerprint.
+def half_words(prints: DataFrame) -> DataFrame:
+    """(key, fp): the halves that each (view, fp) emits; halves within 1 bit of each other share a key.
 
-    Whoever is within 3 bits of another is within 1 bit of it in the low or in the high half. A half of even
-    parity emits itself and its 32 neighbours, one of odd parity itself.
+    A half of even parity emits itself and its 32 neighbours, one of odd parity itself. A key holds the view,
+    which half it is, and the value.
     """
-    distinct = prints.select("view", "fp").distinct()
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("view", "fp").distinct().repartition(spread)
     halves = F.array(
         F.struct(F.lit(0).alias("part"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("half")),
         F.struct(F.lit(1).alias("part"), F.shiftrightunsigned("fp", 32).alias("half")),
     )
     flips = F.lit([0] + [1 << i for i in range(32)])
-    emitted = (
+    place = (F.col("view").cast("long") * 2 + F.col("h.part")) * (1 << 32)
+    return (
         distinct.select("view", "fp", F.explode(halves).alias("h"))
         .select("view", "fp", "h", F.explode(flips).alias("flip"))
         .filter("flip = 0 OR bit_count(h.half) % 2 = 0")
-        .select("view", "fp", ((F.col("h.part") * (1 << 32)) + F.col("h.half").bitwiseXOR(F.col("flip"))).alias("key"))
+        .select((place + F.col("h.half").bitwiseXOR(F.col("flip"))).alias("key"), "fp")
+    )
+
+
+def _view() -> Column:
+    return F.shiftright("key", 33).cast("int").alias("view")
+
+
+def with_neighbours(prints: DataFrame) -> DataFrame:
+    """The rows of (node, view, fp) that share half a fingerprint, up to one bit, with another fingerprint.
+
+    Whoever is within 3 bits of another is within 1 bit of it in the low or in the high half.
+    """
+    same = Window.partitionBy("key")
+    kept = (
+        half_words(prints)
+        .withColumns({"lo": F.min("fp").over(same), "hi": F.max("fp").over(same)})
+        .filter("lo != hi")
+        .select(_view(), "fp")
+        .distinct()
     )
-    shared = (
-        emitted.groupBy("view", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo != hi")
-    ).select("view", "key")
-    kept = emitted.join(shared, ["view", "key"], "left_semi").select("view", "fp").distinct()
     return prints.join(kept, ["view", "fp"], "left_semi")
 
 
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes to be compared, from (node, view, fp).
+
+    Fingerprints that meet in half a word are paired with the first and the previous one there if they differ in
+    FAR bits or fewer; nodes with one fingerprint are paired with the first of them.
+    """
+    order = Window.partitionBy("key").orderBy("fp")
+    links = (
+        half_words(prints)
+        .withColumns({"hub": F.first("fp").over(order), "prev": F.lag("fp").over(order)})
+        .select(_view(), "fp", F.explode(F.array_distinct(F.array("hub", "prev"))).alias("other"))
+        .filter(f"other != fp AND bit_count(other ^ fp) <= {FAR}")
+        .select("view", F.least("fp", "other").alias("x"), F.greatest("fp", "other").alias("y"))
+        .distinct()
+    )
+    first = prints.groupBy("view", "fp").agg(F.min("node").alias("first"))
+    ends = [first.select("view", F.col("fp").alias(x), F.col("first").alias(n)) for x, n in (("x", "a"), ("y", "b"))]
+    met = links.join(ends[0], ["view", "x"]).join(ends[1], ["view", "y"]).select("a", "b")
+    twins = prints.join(first, ["view", "fp"]).filter("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = met.unionAll(twins).filter("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def balls(prints: DataFrame) -> DataFrame:
     """(node, view, fp, z): every value z that a fingerprint emits within half the radius."""
     near, far = F.lit(_near_masks()), F.lit(_far_masks())
@@ -223,10 +265,10 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """(doc_id, text_key, component_id): groups of documents that are copies or near copies of each other.
 
     A near copy shares 0.8 or more of the 5-word shingles, which is more than 3 bits away in most 3-word
-    SimHashes. Candidates are therefore looked for in several independent SimHashes of the set of words, in
-    which such a copy differs by 0 to 5 bits: those that meet in any ball are compared with the first and with
-    the previous one there (not with each other) on their exact shingles. Equal texts are one node, so copies
-    cost nothing. component_id is the smallest (doc_id, text key) of the group, as a struct; null doc_ids
+    SimHashes. Candidates are therefore looked for in several independent SimHashes of the set of words, two
+    words of 32 bits each, in which such a copy differs by 0 to 3 bits a word: every word emits its ball of radius
+    1 (or, of odd parity, itself), and those that meet are compared with the first and with the previous one
+    there, not with each other, on their exact shingles. Equal texts are one node, so copies cost nothing. component_id is the smallest (doc_id, text key) of the group, as a struct; null doc_ids
     come last. Null texts count as empty.
     """
     keyed = written(
@@ -237,17 +279,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         texts.select("node", F.posexplode(word_set_fingerprints(F.col("body"), VIEWS)).alias("view", "fp")).distinct(),
         "word-prints",
     )
-    survivors = written(with_neighbours_or_equal(prints), "neighbours")
-    order = Window.partitionBy("view", "z").orderBy("node")
-    pairs = (
-        balls(survivors)
-        .select("view", "z", "node", F.first("node").over(order).alias("hub"), F.lag("node").over(order).alias("prev"))
-        .select("node", F.explode(F.array_distinct(F.array("hub", "prev"))).alias("other"))
-        .filter("other != node")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-    )
-    pairs = written(pairs, "pairs")
+    pairs = written(candidate_pairs(prints), "pairs")
     concerned = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bodies = written(texts.join(concerned, "node", "left_semi").dropDuplicates(["node"]), "bodies")
     left, right = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"text_{x}")) for x in ("a", "b"))
@@ -265,13 +297,6 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return keyed.join(rooted.join(smallest, "root").select("text_key", "component_id"), "text_key")
 
 
-def with_neighbours_or_equal(prints: DataFrame) -> DataFrame:
-    """As ``with_neighbours``; nodes that share a whole fingerprint with another node stay, too."""
-    twins = prints.groupBy("view", "fp").count().filter("count > 1").select("view", "fp")
-    alone = with_neighbours(prints)
-    return alone.unionAll(prints.join(twins, ["view", "fp"], "left_semi")).distinct()
-
-
 def _rank(doc_id: str, key: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("doc_id"), F.col(key).alias("text_key"))
 
