@@ -92,3 +92,26 @@ def test_deduplicated_keeps_one_of_each_group(odd, docs):
     blank = [r for r in kept if not (r.text or "").strip()]
     assert 3 in {r.doc_id for r in blank}
     assert simhash.deduplicated(docs([])).count() == 0
+
+
+def alike(texts: list[str]):
+    sets = [set(brute.runs(brute.words(t), 5)) for t in texts]
+    return lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+
+def groups(docs, rows) -> dict:
+    return {r.doc_id: r.component_id.doc_id for r in simhash.near_copies(docs(rows)).collect()}
+
+
+def test_copies_that_only_their_original_links(docs):
+    pick = random.Random(11)
+    base = [f"v{pick.randrange(9000)}" for _ in range(150)]
+    rows = [(500, " ".join(base))]
+    for k in range(300):
+        words = list(base)
+        for at in pick.sample(range(5, 145), 3):
+            words[at] = f"n{pick.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    want = brute.components([i for i, _ in rows], alike([t for _, t in rows]))
+    assert groups(docs, rows) == {i: want[k] for k, (i, _) in enumerate(rows)}
+    assert len(set(want.values())) < 5
