@@ -15,13 +15,14 @@ the sum of log(1 - q + q e^r) with q = OWN_WORDS, whole and by word, and the num
 ratio is clear. A logistic regression on labelled rows that
 were not counted turns these into a probability.
 
-Counts, contexts and shared estimates are tables and stay tables. Scoring needs the log ratios only; these are
-sent to the tasks as arrays of fixed size (TABLE buckets with a check value each; of two n-grams in one bucket
-the more frequent stays, the other is treated as unseen).
+Counts, contexts and shared estimates are tables and stay tables. Scoring needs the log ratios only, and all of them:
+up to SENT_RATIOS they are sent to the tasks as sorted keys, beyond that they stay tables, too; the distinct words of
+the texts are then rated by joins with them, and word ratios are joined back to the texts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,15 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthspark.llm.common import batches, written
+from hearthspark.llm.common import batches, text_key, written
 from hearthspark.llm.hashing import mix
 
 ORDER = 8
 #: Bytes of the n-grams that are backed off to, and whose counts the classes share.
 SHORTER = 5, 3, 1
 DISCOUNT = 0.75
-#: Buckets of log ratios, and of the ratios of contexts alone, as powers of two.
-TABLE, CONTEXTS = 21, 20
+#: Log ratios, of n-grams and contexts together, up to which they are sent to all tasks (12 bytes each).
+SENT_RATIOS = 1 << 22
 #: Share of the words of a toxic text that are taken to be of its class; the others are ordinary words.
 OWN_WORDS = 0.02
 #: A word whose log ratio is above this speaks for the toxic class.
@@ -159,7 +160,7 @@ def shared_estimates(grams: DataFrame) -> DataFrame:
 
 
 def log_ratios(grams: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, seen, ratio) of n-grams that a class has seen, and (context, seen, ratio) for others after a context."""
+    """(key, ratio) of n-grams that a class has seen, and (key, ratio) for others after a context, which is the key."""
     labelled = grams.filter("toxic + ordinary > 0").withColumn("context", F.shiftright("key", 8))
     totals = [F.sum(c).alias(f"{c}_total") for c in ("toxic", "ordinary")]
     kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "ordinary")]
@@ -176,56 +177,64 @@ def log_ratios(grams: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFram
         labelled.join(contexts, "context")
         .withColumn("short", _suffix("key", SHORTER[0]))
         .join(shared.select(F.col("key").alias("short"), "shared"), "short")
-        .select("key", F.expr("toxic + ordinary").alias("seen"), F.log(chance("toxic") / chance("ordinary")).alias("ratio"))
+        .select("key", F.log(chance("toxic") / chance("ordinary")).cast("float").alias("ratio"))
     )
     alone = contexts.select(
-        F.col("context").alias("key"),
-        F.expr("toxic_total + ordinary_total").alias("seen"),
-        F.log(left("toxic") / left("ordinary")).alias("ratio"),
+        F.col("context").alias("key"), F.log(left("toxic") / left("ordinary")).cast("float").alias("ratio")
     )
     return rated, alone
 
 
-def buckets(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and check value of each key."""
-    h = mix(keys.astype(np.uint64), 11)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0x7FFF)).astype(np.uint16) + np.uint16(1)
+class Table:
+    """Log ratios by key, all of them.
 
+    A key is looked for in the slot of its hash; keys that lost their slot to another are searched for in order. Only
+    keys and ratios are sent; slots are made where they are used.
+    """
 
-@dataclass
-class Table:
-    """Log ratios by bucket, of fixed size."""
+    def __init__(self, keys: np.ndarray, ratio: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ratio = keys[order], ratio[order]
+        self._place()
 
-    bits: int
-    check: np.ndarray
-    ratio: np.ndarray
+    def __getstate__(self):
+        return self.keys, self.ratio
 
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is held, and its ratio."""
-        at, check = buckets(keys, self.bits)
-        return self.check[at] == check, self.ratio[at]
+    def __setstate__(self, state):
+        self.keys, self.ratio = state
+        self._place()
 
+    def _place(self) -> None:
+        n = len(self.keys)
+        self.bits = max(n, 1).bit_length() + 1
+        own = self._slots(self.keys)
+        self.slot = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.slot[own] = np.arange(n, dtype=np.int32)
+        self.others = np.flatnonzero(self.slot[own] != np.arange(n))
+        self.crowded = np.zeros(1 << self.bits, dtype=bool)
+        self.crowded[own[self.others]] = True
 
-def _fixed(rated: DataFrame, bits: int) -> Table:
-    """The most frequent key of each bucket; at most 2 ** bits rows reach the driver."""
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.astype(np.uint64), 11) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    @F.arrow_udf(T.StructType([T.StructField("at", T.LongType()), T.StructField("check", T.IntegerType())]))
-    def place(key: pa.Array) -> pa.Array:
-        at, check = buckets(key.to_numpy(zero_copy_only=False), bits)
-        return pa.StructArray.from_arrays([pa.array(at), pa.array(check, type=pa.int32())], names=["at", "check"])
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is held, and its ratio."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.float32)
+        at = self._slots(keys)
+        place = self.slot[at]
+        held = (place >= 0) & (self.keys[place] == keys)
+        rest = np.flatnonzero(~held & self.crowded[at])
+        if len(rest):
+            found = np.minimum(np.searchsorted(self.keys[self.others], keys[rest]), len(self.others) - 1)
+            place[rest] = self.others[found]
+            held[rest] = self.keys[place[rest]] == keys[rest]
+        return held, self.ratio[place]
 
-    best = (
-        rated.withColumn("p", place("key"))
-        .groupBy("p.at")
-        .agg(F.max(F.struct("seen", "key", "p.check", F.col("ratio").cast("float").alias("ratio"))).alias("best"))
-        .select("at", "best.check", "best.ratio")
-    )
-    found = best.toArrow()
-    table = Table(bits, np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float16))
-    at = found["at"].to_numpy()
-    table.check[at] = found["check"].to_numpy()
-    table.ratio[at] = found["ratio"].to_numpy()
-    return table
+
+def _table(rated: DataFrame) -> Table:
+    found = rated.toArrow()
+    return Table(found["key"].to_numpy(), found["ratio"].to_numpy())
 
 
 def features(texts: list[bytes], grams: Table, contexts: Table) -> np.ndarray:
@@ -258,9 +267,9 @@ def features(texts: list[bytes], grams: Table, contexts: Table) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The tables of n-grams and contexts, sent to the tasks, and the regression on FEATURES."""
+    """The log ratios of n-grams and contexts, sent to the tasks or as two tables, and the regression on FEATURES."""
 
-    sent: Broadcast
+    ratios: Broadcast | tuple[DataFrame, DataFrame]
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -299,6 +308,72 @@ def _features_column(text: Column, sent: Broadcast) -> Column:
     return rate(text)
 
 
+_WORDS = bytes(_LOWER)
+
+
+def _words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, word, n): the words of each text as ``ngrams`` reads them, and how often."""
+    for batch in rows:
+        for first, texts in batches(batch.column("body")):
+            found = [Counter(w for w in t.translate(_WORDS).split(b" ") if w) for t in texts]
+            owner = np.repeat(np.arange(len(texts)), [len(f) for f in found]) + first
+            words, n = [w for f in found for w in f], [k for f in found for k in f.values()]
+            columns = [batch.column("text").take(pa.array(owner)), pa.array(words, type=pa.binary()), pa.array(n, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["text", "word", "n"])
+
+
+def _word_grams(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, key, n): the n-grams of each word, and how often."""
+    for batch in rows:
+        for first, words in batches(batch.column("word")):
+            keys, _, _ = ngrams(words)
+            owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            order = np.lexsort((keys, owner))
+            keys, owner = keys[order], owner[order]
+            fresh = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])[: len(keys)])
+            n = np.diff(np.concatenate([fresh, [len(keys)]]))
+            columns = [batch.column("word").take(pa.array(owner[fresh] + first)), pa.array(keys[fresh]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "key", "n"])
+
+
+def joined_features(docs: DataFrame, text: str, rated: DataFrame, alone: DataFrame) -> DataFrame:
+    """``docs`` with FEATURES as the array ``__x``: distinct words are rated by joins, then joined back to the texts."""
+    keyed = docs.withColumn("__key", text_key(F.col(text)))
+    rows = keyed.select(F.col("__key").alias("text"), F.col(text).alias("body")).dropDuplicates(["text"])
+    words = written(rows.mapInArrow(_words, "text binary, word binary, n long"), "words")
+    grams = words.select("word").distinct().mapInArrow(_word_grams, "word binary, key long, n long")
+    grams = written(grams, "word-grams")
+    keys = grams.select("key", F.shiftright("key", 8).alias("context")).distinct()
+    ratios = keys.join(rated, "key", "left").join(
+        alone.select(F.col("key").alias("context"), F.col("ratio").alias("below")), "context", "left"
+    )
+    ratios = ratios.select("key", F.coalesce("ratio", "below", F.lit(0.0)).cast("double").alias("ratio"))
+    by_word = grams.join(ratios, "key").groupBy("word").agg(F.sum(F.expr("n * ratio")).alias("r"))
+    mixed = F.log1p(OWN_WORDS * F.expm1(F.greatest(F.least("r", F.lit(20.0)), F.lit(-20.0))))
+    by_text = words.join(by_word, "word").groupBy("text").agg(
+        F.sum(F.expr("n * r")).alias("total"),
+        F.sum(F.col("n") * F.octet_length("word")).alias("letters"),
+        F.sum("n").alias("words"),
+        F.max("r").alias("top"),
+        F.sum(F.col("n") * mixed).alias("mixed"),
+        F.sum(F.when(F.col("r") > CLEAR, F.col("n")).otherwise(0)).cast("double").alias("clears"),
+    )
+    x = F.array(
+        F.expr("total / letters"), "top", F.greatest(F.least("mixed", F.lit(20.0)), F.lit(-20.0)),
+        F.expr("mixed / words"), F.log1p("clears"), F.expr("clears / words"),
+    )
+    found = by_text.select(F.col("text").alias("__key"), x.alias("__x"))
+    nothing = F.array(*(F.lit(0.0) for _ in FEATURES))
+    return keyed.join(found, "__key", "left").withColumn("__x", F.coalesce("__x", nothing)).drop("__key")
+
+
+def with_features(docs: DataFrame, text: str, ratios: Broadcast | tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``docs`` with FEATURES as the array ``__x``."""
+    if isinstance(ratios, tuple):
+        return joined_features(docs, text, *ratios)
+    return docs.withColumn("__x", _features_column(F.col(text), ratios))
+
+
 def with_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str) -> DataFrame:
     """``docs`` with the label of each doc_id as ``__label`` (the largest where there are several), or null."""
     one = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
@@ -324,22 +399,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counted = rows.withColumn("__label", F.when(part.isin(1, 2, 3), F.col("__label")))
     grams = written(gather(counted, text, "__label"), "grams")
     rated, alone = log_ratios(grams, shared_estimates(grams))
-    sent = docs.sparkSession.sparkContext.broadcast((_fixed(rated, TABLE), _fixed(alone, CONTEXTS)))
+    if grams.filter("toxic + ordinary > 0").count() + alone.count() <= SENT_RATIOS:
+        ratios = docs.sparkSession.sparkContext.broadcast((_table(rated), _table(alone)))
+    else:
+        ratios = written(rated, "ratios"), written(alone, "context-ratios")
     sample = rows.filter((part == 4) & F.col("__label").isNotNull())
     many = sample.count()
     if many > FIT_ROWS:
         share = int(FIT_ROWS / many * (1 << 31))
         sample = sample.filter(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 31)) < share)
-    got = sample.select(_features_column(F.col(text), sent).alias("x"), F.col("__label").alias("y")).toArrow()
+    got = with_features(sample, text, ratios).select(F.col("__x").alias("x"), F.col("__label").alias("y")).toArrow()
     y = got["y"].to_numpy().astype(np.float64)
     x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         zeros = np.zeros(len(FEATURES))
-        return Model(sent, zeros, zeros + 1, zeros, float(np.log(share / (1 - share))))
+        return Model(ratios, zeros, zeros + 1, zeros, float(np.log(share / (1 - share))))
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
     weights, offset = _regression((x - mean) / spread, y)
-    return Model(sent, mean, spread, weights, offset)
+    return Model(ratios, mean, spread, weights, offset)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -349,9 +427,17 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     replaced; all others are kept; rows that repeat stay.
     """
 
+    if isinstance(model.ratios, tuple):
+        terms = zip(model.mean.tolist(), model.spread.tolist(), model.weights.tolist(), strict=True)
+        z = F.lit(model.offset)
+        for i, (mean, spread, weight) in enumerate(terms):
+            z = z + (F.col("__x")[i] - mean) / spread * weight
+        chance = 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
+        return with_features(docs, text, model.ratios).withColumn("toxicity", chance).drop("__x")
+
     @F.arrow_udf(T.DoubleType())
     def rate(text: pa.Array) -> pa.Array:
-        parts = [model.probability(features(some, *model.sent.value)) for _, some in batches(text)]
+        parts = [model.probability(features(some, *model.ratios.value)) for _, some in batches(text)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), type=pa.float64())
 
     return docs.withColumn("toxicity", rate(F.col(text)))

@@ -120,3 +120,27 @@ def test_kth_largest(spark, monkeypatch, k):
     values = [pick.gauss(0, 1) * 10 ** pick.randrange(-6, 7) for _ in range(3000)] + [1.5] * 2000
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     assert quality.kth_largest(rows, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_every_ratio_is_kept():
+    pick = np.random.default_rng(7)
+    keys = np.unique(pick.integers(1, 1 << 62, 200_000))
+    held, ratio = toxicity.Table(keys, np.arange(len(keys), dtype=np.float32)).look(np.concatenate([keys, keys + 1]))
+    assert held[: len(keys)].all() and (ratio[: len(keys)] == np.arange(len(keys))).all()
+    assert (held[len(keys) :] == np.isin(keys + 1, keys)).all()
+
+
+def test_ratios_that_are_not_sent_give_the_same_scores(spark, odd, docs, monkeypatch):
+    pick = random.Random(12)
+    rows = [(100 + k, " ".join(f"w{pick.randrange(90)}" for _ in range(30)) + (" Vile, v1le!" if k % 3 == 0 else "")) for k in range(300)]
+    labels = spark.createDataFrame([(i, int("Vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    table = odd.unionByName(docs(rows))
+    sent = toxicity.fit(table, labels)
+    monkeypatch.setattr(toxicity, "SENT_RATIOS", 0)
+    joined = toxicity.fit(table, labels)
+    assert isinstance(joined.ratios, tuple) and not isinstance(sent.ratios, tuple)
+    got, want = (
+        sorted((str(r.doc_id), str(r.text), r.toxicity) for r in toxicity.score(table, m).collect()) for m in (joined, sent)
+    )
+    assert [x[:2] for x in got] == [x[:2] for x in want] and len(got) == table.count()
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
