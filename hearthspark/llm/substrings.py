@@ -1,10 +1,11 @@
 """Repeated passages: every run of consecutive sentences that another place of the corpus has before.
 
-A text is cut into sentences: after a word that ends in . ! or ? (closing quotes and brackets may follow), and
-at the end of a line. Beyond its LONG-th word a sentence is also cut after every word whose hash falls on one of
-CHOSEN values, so that running text without such ends is cut, too, and alike wherever it stands. Sentences with
-the white space after them are together exactly the text. Every run of RUN sentences that has WORDS words or
-more is a span, compared by 128 bits over its lowered words. Of the places of a span the first stays, by
+A text is cut into sentences: after a word that ends in . ! or ? or another stop (closing quotes and brackets may
+follow), and at the end of a line. Words are parted by white space; a character of a script that is written without
+it is a word of its own. Beyond its LONG-th word a sentence is also cut after every word whose hash is the smallest among the
+NEAR words on either side, so that running text without such ends is cut, too, and alike wherever it stands. Sentences
+with the white space after them are together exactly the text. From every sentence on, the shortest run of RUN sentences
+or more that has WORDS words is a span, compared by 128 bits over its lowered words. Of the places of a span the first stays, by
 doc_id, then text, then position; sentences covered by any other place go. The first place of a sentence in
 the corpus is therefore never removed.
 
@@ -26,11 +27,11 @@ from pyspark.sql import types as T
 from hearthspark.llm.common import batches, without, written
 from hearthspark.llm.hashing import P1, P3, mix, xxh64_spans
 
-#: Sentences of a span, and the words that it must have.
+#: Sentences of a span at least, and the words that it must have.
 RUN = 3
 WORDS = 12
-#: Words after which a sentence may be cut within, and one in how many words cuts it.
-LONG, CHOSEN = 12, 8
+#: Words after which a sentence may be cut within, and the words on either side that decide where.
+LONG, NEAR = 12, 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -40,6 +41,29 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[33, 46, 63]] = True
 _CLOSE = np.zeros(256, dtype=bool)
 _CLOSE[[34, 39, 41, 93, 125]] = True
+#: The same beyond ASCII, by code point: white space, stops, closing quotes and brackets, scripts without spaces.
+_WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+_WIDE_STOP = [
+    0x589, 0x61F, 0x6D4, 0x964, 0x965, 0xE2F, 0xE5A, 0xE5B, 0xF0D, 0xF0E, 0x104A, 0x104B, 0x1362, 0x1367, 0x17D4, 0x17D5,
+    0x2026, 0x203C, 0x203D, 0x2047, 0x2048, 0x2049, 0x3002, 0xFE52, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61,
+]
+_WIDE_CLOSE = [0xBB, 0x2019, 0x201D, 0x203A, 0x3009, 0x300B, 0x300D, 0x300F, 0x3011, 0x3015, 0xFF02, 0xFF07, 0xFF09, 0xFF3D, 0xFF63]
+_WIDE_LINE = [0x85, 0x2028, 0x2029]
+_UNSPACED = [
+    (0xE00, 0xEFF), (0xF00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3005, 0x3007), (0x3040, 0x30FF),
+    (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+]
+
+
+def _wide(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size in bytes and code point of every character beyond ASCII of UTF-8."""
+    at = np.flatnonzero(raw >= 0xC0)
+    lead = raw[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | raw[np.minimum(at + k, len(raw) - 1)] & 0x3F, code)
+    return at, size, code
 
 
 class Sentences:
@@ -52,9 +76,33 @@ class Sentences:
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.finish = self.begin + sizes
         low = _LOWER[self.raw]
-        space = _SPACE[self.raw]
+        space, self.final, self.line = _SPACE[self.raw], _STOP[self.raw], self.raw == 10
+        self.close, self.whole = _CLOSE[self.raw], np.ones(len(self.raw), dtype=np.int8)
+        at, size, code = _wide(self.raw)
+        unspaced = np.zeros(len(at), dtype=bool)
+        for lo, hi in _UNSPACED:
+            unspaced |= (code >= lo) & (code <= hi)
+        stop, close = np.isin(code, _WIDE_STOP), np.isin(code, _WIDE_CLOSE)
+        self.line[at[np.isin(code, _WIDE_LINE)]] = True
+        blank = np.isin(code, _WIDE_SPACE)
+        for k in range(4):
+            space[at[blank & (k < size)] + k] = True
+        # The last byte of a character stands for it, with its size.
+        last = at + size - 1
+        self.final[last[stop]], self.close[last[close]], self.whole[last] = True, True, size
+        # A character of an unspaced script begins a word and ends one; stops, quotes and brackets stay with it.
+        alone = unspaced & ~stop
+        begins, ends = np.zeros(len(space) + 1, dtype=bool), np.zeros(len(space) + 1, dtype=bool)
+        begins[at[alone]] = ends[(at + size)[alone]] = True
+        mark = np.concatenate([self.final | self.close, [False]])
+        mark[at[stop | close]] = True
+        ends &= ~mark
         edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        inner = np.concatenate([~space, [False]]) & (begins | ends)
+        inner[1:] &= ~space
+        inner[0] = False
+        start = np.flatnonzero((edge == -1) | inner)
+        end = np.flatnonzero((edge == 1) | inner)
         owner = np.searchsorted(self.begin, start, side="right") - 1
         hashes = xxh64_spans(low.tobytes(), start, end - start)
         ends = self._ends(start, end, owner)
@@ -64,7 +112,7 @@ class Sentences:
         first[1:] = ends[:-1]
         head = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         place = np.arange(n) - head
-        ends |= (place >= LONG - 1) & (mix(hashes, 5) % np.uint64(CHOSEN) == 0)
+        ends |= self._cuts(mix(hashes, 5), owner, place)
         first[1:] = ends[:-1]
         heads = np.flatnonzero(first)
         self.text = owner[heads]
@@ -82,13 +130,32 @@ class Sentences:
         """Whether a sentence ends with each word."""
         last = end - 1
         for _ in range(3):
-            last = np.where(_CLOSE[self.raw[last]] & (last > start), last - 1, last)
-        lines = np.concatenate([[0], np.cumsum(self.raw == 10)])
-        ends = _STOP[self.raw[last]]
+            before = last - self.whole[last]
+            last = np.where(self.close[last] & (before >= start), before, last)
+        lines = np.concatenate([[0], np.cumsum(self.line)])
+        ends = self.final[last]
         ends[:-1] |= (lines[start[1:]] > lines[end[:-1]]) | (owner[1:] != owner[:-1])
         ends[-1:] = True
         return ends
 
+    @staticmethod
+    def _cuts(hashes: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether a long sentence is cut after a word: the smallest hash nearby. Of equal ones closer than that the first."""
+        least = place >= LONG - 1
+        for k in range(1, NEAR + 1):
+            same = owner[k:] == owner[:-k]
+            least[k:] &= ~same | (hashes[k:] <= hashes[:-k])
+            least[:-k] &= ~same | (hashes[:-k] <= hashes[k:])
+        at = np.flatnonzero(least)
+        if len(at) > 1 and ((np.diff(at) <= NEAR) & (owner[at[1:]] == owner[at[:-1]])).any():
+            before = -1
+            for i in at.tolist():
+                if before >= 0 and i - before <= NEAR and owner[i] == owner[before]:
+                    least[i] = False
+                else:
+                    before = i
+        return least
+
     @staticmethod
     def _fold(hashes: np.ndarray, place: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """One hash of the words of each sentence, in order."""
@@ -99,21 +166,25 @@ class Sentences:
             powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(most - 1, P3, dtype=np.uint64)]))
             return mix(np.add.reduceat(hashes * powers[place], heads), 3)
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first sentences of spans, and how many sentences each has."""
+        n = len(self.text)
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        enough = np.searchsorted(total, total[:-1] + WORDS)
+        end = np.maximum(enough, np.arange(n) + RUN)
+        at = np.flatnonzero(end <= self.edges[1:][self.text])
+        return at, end[at] - at
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, position of the first sentence within it, and two hashes of every span."""
-        n = len(self.text) - RUN + 1
-        if n <= 0:
-            none = np.empty(0, dtype=np.int64)
-            return none, none, none.astype(np.uint64), none.astype(np.uint64)
-        same = self.text[:n] == self.text[RUN - 1 :]
-        words = sum(self.words[k : n + k] for k in range(RUN))
-        at = np.flatnonzero(same & (words >= WORDS))
+        at, size = self.runs()
         out = []
         with np.errstate(over="ignore"):
             for h in self.hashes:
                 together = np.zeros(len(at), dtype=np.uint64)
-                for k in range(RUN):
-                    together = mix(together * P1 + h[at + k], 7)
+                for k in range(int(size.max()) if len(at) else 0):
+                    on = np.flatnonzero(size > k)
+                    together[on] = mix(together[on] * P1 + h[at[on] + k], 7)
                 out.append(together)
         return self.text[at], at - self.edges[self.text[at]], *out
 
@@ -173,11 +244,12 @@ def _without_spans(text: pa.Array, positions: pa.Array) -> pa.Array:
     out: list[dict] = []
     for first, texts in batches(text):
         found = Sentences(texts)
+        size = dict(zip(*(x.tolist() for x in found.runs()), strict=True))
         for i, whole in enumerate(texts):
             lo, hi = int(found.edges[i]), int(found.edges[i + 1])
             gone = np.zeros(hi - lo, dtype=bool)
             for at in positions[first + i].as_py() or ():
-                gone[at : at + RUN] = True
+                gone[at : at + size[lo + at]] = True
             base = int(found.begin[i])
             cuts = [(int(found.start[lo + k]) - base, int(found.end[lo + k]) - base) for k in np.flatnonzero(gone)]
             kept, at, removed = [], 0, []

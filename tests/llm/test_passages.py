@@ -64,6 +64,49 @@ def test_a_clean_corpus_stays(docs):
     assert all(found[i].text == t and found[i].removed == [] for i, t in rows)
 
 
+def running(pick: random.Random, words: int) -> str:
+    return " ".join(f"r{pick.randrange(9000)}" for _ in range(words))
+
+
+def chars(pick: random.Random, n: int, stop: str) -> str:
+    return "".join(chr(0x4E00 + pick.randrange(3000)) + (stop if k % 17 == 16 else "") for k in range(n))
+
+
+def thai(pick: random.Random, n: int) -> str:
+    return "".join(chr(0xE01 + pick.randrange(46)) for _ in range(n))
+
+
+KINDS = {
+    "lines": ("\n", lambda pick: "\n".join(running(pick, 1 + k % 3) for k in range(27))),
+    "running": (" ", lambda pick: running(pick, 51)),
+    "chinese": ("", lambda pick: chars(pick, 60, "")),
+    "chinese with stops": ("", lambda pick: chars(pick, 60, "\u3002")),
+    "thai": ("", lambda pick: thai(pick, 80)),
+    "danda": (" ", lambda pick: " ".join(running(pick, 8) + "\u0964" for _ in range(7))),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_passages_of_other_kinds(docs, kind):
+    gap, make = KINDS[kind]
+    pick = random.Random(14)
+    around = chars if kind.startswith("chinese") else None
+    rows, passages = [], []
+    for k in range(60):
+        passages.append(make(pick))
+        for place in range(2):
+            ends = [around(pick, 23, "") if around else thai(pick, 23) if kind == "thai" else running(pick, 20 + place) for _ in range(2)]
+            rows.append((2 * k + place, gap.join([ends[0], passages[-1], ends[1]])))
+    found = {r.doc_id: r for r in substrings.remove_repeated(docs(rows)).collect()}
+    assert all(found[2 * k].text == rows[2 * k][1] for k in range(60))
+    lost = [k for k in range(60) if not found[2 * k + 1].removed]
+    assert len(lost) == 0
+    for k in range(60):
+        raw, cut = rows[2 * k + 1][1].encode(), found[2 * k + 1].removed
+        at = raw.index(passages[k].encode())
+        assert all(a >= at and b <= at + len(passages[k].encode()) + 1 for a, b in cut)
+
+
 @pytest.mark.parametrize("sent", [decontamination.SENT, 0])
 def test_contained_items(spark, odd, docs, sent):
     pick = random.Random(3)
