@@ -115,3 +115,18 @@ def test_copies_that_only_their_original_links(docs):
     want = brute.components([i for i, _ in rows], alike([t for _, t in rows]))
     assert groups(docs, rows) == {i: want[k] for k, (i, _) in enumerate(rows)}
     assert len(set(want.values())) < 5
+
+
+@pytest.mark.parametrize("size", [60, 200, 400])
+def test_copies_that_differ_in_one_block(docs, size):
+    pick = random.Random(size)
+    rows = []
+    for k in range(40):
+        base = [f"v{pick.randrange(9000)}" for _ in range(size)]
+        new = [f"n{pick.randrange(10**6)}" for _ in range(size // 5)]
+        cut = (size - 4) // 10 - 4
+        edits = [base + new, base[: size - size // 6], base[:20] + new[:cut] + base[20 + cut :], new + base]
+        rows += [(10 * k + n, " ".join(words)) for n, words in enumerate([base, *edits])]
+    want = brute.components([i for i, _ in rows], alike([t for _, t in rows]))
+    assert groups(docs, rows) == {i: want[k] for k, (i, _) in enumerate(rows)}
+    assert len(set(want.values())) == 40
