@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import decontamination, languages, quality, sharding, simhash, sketches, substrings, token_columns, toxicity
+from hearthspark.llm import alignment, decontamination, languages, quality, sharding, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -110,6 +110,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers line up in every document."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return alignment.align(docs, tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
 }
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"

@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, db, name):
 def test_all_queries_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 12)}
 
 
 @pytest.mark.parametrize(
