@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspark.llm import alignment, decontamination, languages, quality, sharding, simhash, sketches, substrings, token_columns, toxicity
+from hearthspark.llm import alignment, decontamination, languages, quality, ranking, secrets, sharding, simhash, sketches, substrings, token_columns, toxicity
 from hearthspark.llm.common import ship
 
 
@@ -116,6 +116,17 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return ranking.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: those of the rules, and those that the network adds."""
+    return secrets.scan(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
@@ -128,18 +139,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash": op10_simhash,
     "op11_alignment": op11_alignment,
+    "op12_ranking": op12_ranking,
+    "op13_secrets": op13_secrets,
 }
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _words_sql() -> str:
+    low = f"translate(text, '{_LETTERS.upper()}', '{_LETTERS}')"
+    return f"regexp_extract_all({low}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
 def _shingles_sql(table: str, key: str) -> str:
     """Distinct shingles of 5 words, of fewer words the whole sequence, of none none."""
-    low = f"translate(text, '{_LETTERS.upper()}', '{_LETTERS}')"
-    words = f"regexp_extract_all({low}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
     return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
         lambda i: array_to_string(w[i:i + 4], ' '))) AS shingle
-        FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0"""
+        FROM (SELECT {key}, {_words_sql()} AS w FROM {table}) WHERE len(w) > 0"""
 
 
 def _sketch_sql(text: str) -> str:
@@ -184,6 +200,21 @@ SELECT doc_id, length(t) AS n_chars, sha256(e) AS edited_sha256, array_to_string
     array_to_string(b, '') AS edited_fingerprint, {_containment_sql("a", "b")} AS near_edited,
     {_containment_sql("a", "c")} AS near_next
 FROM s
+""",
+    "op12_ranking": f"""
+WITH d AS (SELECT doc_id, {_words_sql()} AS w FROM documents),
+i AS (SELECT item_id, {_words_sql()} AS w FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+qf AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM df, s),
+m AS (SELECT doc_id, 100 - 75 + ((75 * len(w) * docs) // total) AS m FROM d, s),
+r AS (SELECT item_id, doc_id, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM qf JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10
 """,
     "op3_decontamination": f"""
 WITH d AS ({_shingles_sql("documents", "doc_id")}),

@@ -16,39 +16,24 @@ value has at most 1 + 64 + 992 members, whatever the input, so no key is hot.
 Most fingerprints are near no other. Before the balls are emitted, a cheaper round keeps only those that share
 one half up to one bit with another fingerprint, which every link implies; it emits 17 half words on average
 for each half.
-
-Near copies of whole texts (``near_copies``) are those with 0.8 or more of their 5-word shingles in common, which no
-fingerprint finds for certain. They are found exactly: under one order of all shingles, two such sets have a shingle
-in common among the first fifth (and one more) of either, and those that meet there are tested on their texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthspark.llm.common import CHUNK, batches, doc_key_of_parts, text_key, without, written
 from hearthspark.llm.components import connected_components
-from hearthspark.llm.hashing import Words, mix, segments, xxh64_spans
+from hearthspark.llm.hashing import Words, segments, xxh64_spans
 
 SHINGLE = 3
 SEED = 42
 #: Radius 3 is what the emitted balls are made for.
 RADIUS = 3
-#: Words of a shingle, and the share of shingles that two near copies have in common.
-COPY_SHINGLE = 5
-COPY_SIMILARITY = 0.8
-#: One text in how many is counted to order shingles, and the most frequent shingles that are sent to the tasks. They
-#: decide how many texts meet, never which pairs are found.
-COUNTED, SENT = 16, 1 << 18
-#: Members of a key that are compared with all others of it in the first round, and the growth from round to round.
-HUBS, WIDER = 2, 4
 
 
 def _majority(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -177,6 +162,15 @@ def star_links(prints: DataFrame) -> DataFrame:
     )
 
 
+def _rooted(by_print: DataFrame) -> DataFrame:
+    """``by_print`` (one row for each fp) with the root of the component of each."""
+    prints = by_print.select(F.col("fp").alias("node"), F.lit(0).alias("view"), "fp")
+    survivors = written(with_neighbours(prints), "neighbours")
+    roots = connected_components(star_links(survivors))
+    joined = by_print.join(roots, by_print.fp == roots.node, "left")
+    return joined.select(*by_print.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without its text, with ``fingerprint`` (16 lowercase hex digits) and ``component_id``.
 
@@ -188,13 +182,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """
     own = [c for c in without(docs, text, "fingerprint", "component_id").columns]
     slim = written(docs.select(*own, fingerprint(F.col(text)).alias("__fp")), "fingerprints")
-    by_print = slim.groupBy(F.col("__fp").alias("fp")).agg(F.min(doc_id).alias("first_id"))
-    prints = by_print.select(F.col("fp").alias("node"), F.lit(0).alias("view"), "fp")
-    survivors = written(with_neighbours(prints), "neighbours")
-    roots = connected_components(star_links(survivors))
-    rooted = by_print.join(roots, by_print.fp == roots.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(slim.groupBy(F.col("__fp").alias("fp")).agg(F.min(doc_id).alias("first_id")))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = rooted.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id")
     return slim.join(labels, "__fp").select(
@@ -202,199 +190,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
 
 
-def _shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    words = Words([t.lower() for t in texts])
-    text, start, size = words.shingles(k)
-    hashes = xxh64_spans(words.buf, start, size, SEED)
-    edges = np.searchsorted(text, np.arange(len(texts) + 1))
-    return [np.unique(hashes[edges[i] : edges[i + 1]]) for i in range(len(texts))]
-
-
-@F.arrow_udf(T.DoubleType())
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Jaccard similarity of the sets of 5-word shingles; two texts without words: 1."""
-    out: list[float] = []
-    for (first, left) in batches(a, CHUNK // 2):
-        right = [x.as_py() or b"" for x in b.slice(first, len(left)).cast(pa.large_binary())]
-        for x, y in zip(_shingle_sets(left, COPY_SHINGLE), _shingle_sets(right, COPY_SHINGLE), strict=True):
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0)
-    return pa.array(out, type=pa.float64())
-
-
-def _sets(texts: list[bytes], sent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, shingle hash and place of every distinct shingle, rarest first; also the number of them by text.
-
-    The order is by the count that was sent (0 if none), then by hash: the same for all texts.
-    """
-    words = Words([t.lower() for t in texts])
-    text, start, size = words.shingles(COPY_SHINGLE)
-    hashes = xxh64_spans(words.buf, start, size, SEED)
-    common, counts = sent
-    known = np.zeros(len(hashes), dtype=np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        known = np.where(common[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, known, text))
-    text, hashes = text[order], hashes[order]
-    fresh = np.ones(len(text), dtype=bool)
-    fresh[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    text, hashes = text[fresh], hashes[fresh]
-    return text, hashes, np.bincount(text, minlength=len(texts))
-
-
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of one text in COUNTED, by hash, and their counts."""
-
-    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-        for batch in rows:
-            for _, some in batches(batch.column("body")):
-                yield pa.RecordBatch.from_arrays([pa.array(_sets(some, none)[1].view(np.int64))], names=["h"])
-
-    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).select("body")
-    counts = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "h").limit(SENT).toArrow()
-    hashes = found["h"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found["n"].to_numpy()[order]
-
-
-def _prefixes(texts: DataFrame, sent: Broadcast) -> DataFrame:
-    """(h, node, size, pos): the shingles of a text by which it meets its near copies.
-
-    A set of n shingles has at least 0.8 n in common with any near copy, so the rarest one in common is among the
-    first n - 0.8 n + 1 in the order of all shingles. Texts without shingles meet under 0.
-    """
-
-    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for first, some in batches(batch.column("body")):
-                text, hashes, sizes = _sets(some, sent.value)
-                place = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                least = np.ceil(COPY_SIMILARITY * sizes - 1e-9).astype(np.int64)
-                on = place <= (sizes - least)[text]
-                blank = np.flatnonzero(sizes == 0)
-                owner = np.concatenate([text[on], blank])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([hashes[on].view(np.int64), np.zeros(len(blank), dtype=np.int64)])),
-                        batch.column("node").take(pa.array(owner + first)),
-                        pa.array(sizes[owner].astype(np.int32)),
-                        pa.array(np.concatenate([place[on], np.zeros(len(blank), dtype=np.int64)]).astype(np.int32)),
-                    ],
-                    names=["h", "node", "size", "pos"],
-                )
-
-    return texts.mapInArrow(each, "h long, node binary, size int, pos int")
-
-
-def _may_be_similar() -> Column:
-    """Whether sizes, and the places of a shingle taken as the first in common, allow a near copy."""
-    most = F.least(F.expr("size - pos"), F.expr("hub_size - hub_pos"))
-    small, large = F.least("size", "hub_size"), F.greatest("size", "hub_size")
-    share = COPY_SIMILARITY / (1 + COPY_SIMILARITY)
-    return (small >= COPY_SIMILARITY * large - 1e-6) & (most >= share * (small + large) - 1e-6)
-
-
-def similar_components(texts: DataFrame) -> DataFrame:
-    """(node, root) of texts that are linked to another by near copies; texts has node and body, rows may repeat.
-
-    All pairs that meet under a shingle are tested, but for pairs that other links have joined by then. That goes in
-    rounds: some members of each shingle, the hubs, are compared with all its other members outside their component and
-    then leave it; a shingle is settled when its members are in one component. First hubs are those with the fewest rarer
-    shingles (an original has fewer than its edited copies), then those of the smallest components.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(_common(texts))
-    prefixes = _prefixes(texts, sent)
-    twice = prefixes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    left = written(
-        prefixes.join(twice, "h", "left_semi").distinct().withColumns({"root": F.col("node"), "members": F.lit(1).cast("long")}),
-        "prefixes",
-    )
-    links = tested = roots = None
-    width = HUBS
-    while True:
-        live = left.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
-        left = written(left.join(live, "h", "left_semi"), "unsettled")
-        if left.isEmpty():
-            break
-        order = Window.partitionBy("h").orderBy("members", "pos", "node")
-        best = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= width)
-        hubs = written(best.select("h", *(F.col(c).alias(f"hub_{c}") for c in ("node", "size", "pos", "root"))), "hubs")
-        met = left.join(hubs, "h").filter("root != hub_root").filter(_may_be_similar())
-        pairs = met.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = written(_similar(pairs, texts), "similar")
-        links = found if links is None else links.unionAll(found)
-        if not found.isEmpty():
-            reached = connected_components(links)
-            sizes = reached.groupBy("root").agg(F.count("*").alias("members"))
-            roots = written(reached.join(sizes, "root").select("node", "root", "members"), "roots")
-        left = left.join(hubs.select("h", F.col("hub_node").alias("node")), ["h", "node"], "left_anti")
-        if roots is not None:
-            left = left.drop("root", "members").join(roots, "node", "left").select(
-                "h", "node", "size", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("members", F.lit(1)).alias("members")
-            )
-        left = written(left, "left")
-        width *= WIDER
-    none = texts.sparkSession.createDataFrame([], "node binary, root binary")
-    return none if roots is None else roots.select("node", "root")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts have 0.8 or more of their shingles in common."""
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = written(texts.join(concerned, "node", "left_semi").dropDuplicates(["node"]), "bodies")
-    left, right = (bodies.select(F.col("node").alias(x), F.col("body").alias(f"text_{x}")) for x in ("a", "b"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .filter(_similarity("text_a", "text_b") >= COPY_SIMILARITY)
-        .select("a", "b")
-    )
-
-
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text_key, component_id): groups of documents that are copies or near copies of each other.
-
-    A near copy shares 0.8 or more of the 5-word shingles, which is more than 3 bits away in most 3-word
-    SimHashes; ``similar_components`` finds all of them. Equal texts are one node, so copies cost nothing.
-    component_id is the smallest (doc_id, text key) of the group, as a struct; null doc_ids
-    come last. Null texts count as empty.
-    """
-    keyed = written(
-        docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key")), "text-keys"
-    )
-    texts = docs.select(text_key(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    roots = similar_components(texts)
-    first = keyed.groupBy("text_key").agg(F.min(_rank("doc_id", "text_key")).alias("first"))
-    rooted = first.join(roots, F.col("text_key") == F.col("node"), "left").select(
-        "text_key", "first", F.coalesce("root", "text_key").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return keyed.join(rooted.join(smallest, "root").select("text_key", "component_id"), "text_key")
-
-
-def _rank(doc_id: str, key: str) -> Column:
-    return F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("doc_id"), F.col(key).alias("text_key"))
-
-
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group of ``near_copies``: that of the smallest doc_id.
+    """``docs`` with one document of each component of ``near_duplicates``: that of the smallest doc_id.
 
-    Of rows that repeat doc_id and text one stays. Null doc_ids come last. All columns are kept.
+    Of rows that share that doc_id the one of the smallest text key stays, of rows that repeat both one. Null doc_ids
+    come last. All columns are kept as they are; no rows give no rows.
     """
-    groups = near_copies(docs, text, doc_id)
-    key = doc_key_of_parts(F.col("doc_id"), F.col("text_key"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (
-        F.col("text_key") == F.col("component_id.text_key")
+    slim = written(
+        docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"), fingerprint(F.col(text)).alias("fp")),
+        "fingerprints",
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
+    rooted = _rooted(slim.groupBy("fp").agg(F.min(rank).alias("first")))
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        doc_key_of_parts(F.col("first.doc_id"), F.col("first.text_key")).alias("__key")
     )
-    rows = groups.groupBy(key.alias("__key")).agg(F.first(stays).alias("stays"), F.count("*").alias("copies"))
-    rows = written(rows.filter("NOT stays OR copies > 1"), "rows-to-drop")
+    copies = slim.groupBy(doc_key_of_parts(F.col("doc_id"), F.col("text_key")).alias("__key")).agg(F.count("*").alias("copies"))
+    stays = written(copies.join(stays, "__key", "left_semi"), "rows-to-keep")
     keyed = docs.withColumn("__key", doc_key_of_parts(F.col(doc_id), text_key(F.col(text))))
-    once = keyed.join(rows.select("__key"), "__key", "left_anti")
-    repeated = keyed.join(rows.filter("stays").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    once = keyed.join(stays.filter("copies = 1").select("__key"), "__key", "left_semi")
+    repeated = keyed.join(stays.filter("copies > 1").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
     return once.unionByName(repeated).drop("__key")

@@ -6,7 +6,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
-from conftest import ODD
+from odd_rows import ODD
 from tokenizers import Tokenizer
 
 from hearthspark.llm import alignment, queries

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD
+from odd_rows import ODD
 from hearthspark.llm import languages, quality, toxicity
 
 SF_DIR = "/root/testdata/sf0.01"

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from conftest import ODD
+from odd_rows import ODD
 from hearthspark.llm import decontamination, substrings
 
 

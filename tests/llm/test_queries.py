@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 import brute
 import corpus_pipeline
 from compare import rows
-from conftest import ODD
+from odd_rows import ODD
 from hearthspark.llm import queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_query_matches_sql(spark, db, name):
 def test_all_queries_are_registered():
     names = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 12)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize(
@@ -48,6 +48,8 @@ def test_all_queries_are_registered():
         ("op8_bpe", {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}),
         ("op9_token_counts", {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"}),
         ("op10_simhash", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
+        ("op11_alignment", {"doc_id": "bigint", **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "bigint"), "groups_sha256": "string"}),
+        ("op13_secrets", {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}),
     ],
 )
 def test_contract_columns(spark, name, kinds):

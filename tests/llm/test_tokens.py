@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import ODD
+from odd_rows import ODD
 from hearthspark.llm import bpe, machine, token_columns
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
