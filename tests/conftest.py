@@ -5,12 +5,10 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from compare import SMALLEST  # noqa: E402
 from hearthspark.plans.jobs import Workspace  # noqa: E402
 from hearthspark.session import local_session  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     return local_session("8", "8")
@@ -18,4 +16,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def ws(spark):
-    return Workspace(spark, SF_DIR)
+    return Workspace(spark, SMALLEST)

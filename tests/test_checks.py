@@ -4,21 +4,20 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from compare import TABLES, rows
-from conftest import SF_DIR
+from compare import SMALLEST, TABLES, rows
 
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
     for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF_DIR}/{table}.parquet')")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALLEST}/{table}.parquet')")
     return con
 
 
 @pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_matches_sql(spark, db, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = entry.queries()[name](spark, SMALLEST)
     result = db.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
