@@ -23,8 +23,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.score(docs, model).filter("toxicity < 0.5").select(docs.columns)
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, that of the smallest doc_id."""
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near duplicates (3-word shingles, 3 bits), that of the smallest doc_id."""
     ship(spark)
     return simhash.deduplicated(docs)
 
@@ -56,7 +56,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", without_toxic),
-    ("simhash near-dedup", without_near_copies),
+    ("simhash near-dedup", without_near_duplicates),
     ("substring dedup", without_repeated_passages),
     ("benchmark decontamination", without_test_items),
     ("bpe", encoded),
