@@ -16,8 +16,9 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     """Great-circle distance in km between columns, null when one is null."""
     lat, lon = f"sin((radians({lat2}) - radians({lat1})) / 2)", f"sin((radians({lon2}) - radians({lon1})) / 2)"
     a = f"{lat} * {lat} + cos(radians({lat1})) * cos(radians({lat2})) * {lon} * {lon}"
-    # rounding can lift the root above 1 for antipodes; CASE keeps nulls null
-    return F.expr(f"{2 * EARTH_KM} * asin(sqrt(CASE WHEN ({a}) > 1 THEN 1D ELSE {a} END))")
+    # rounding can lift the root above 1 for antipodes; LEAST would take a null for 1
+    missing = " OR ".join(f"{c} IS NULL" for c in (lat1, lon1, lat2, lon2))
+    return F.expr(f"IF({missing}, NULL, {2 * EARTH_KM} * asin(least(1D, sqrt({a}))))")
 
 
 def reach(lat_span: Column, lon_span: Column) -> Column:

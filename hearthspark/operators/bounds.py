@@ -17,7 +17,7 @@ the summary's key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,15 +38,15 @@ def summarise(
 
 
 def roll_up(
-    cells: DataFrame, keys: list[str], ranges: list[str], present: list[str], constants: list[str] = ()
+    cells: DataFrame, keys: list[str], ranges: list[str], present: list[str], constants: list[str] = (), any_of: list[str] = ()
 ) -> DataFrame:
-    """Summaries of summaries: the next coarser step."""
+    """Summaries of summaries: the next coarser step. ``any_of`` columns keep one of their values."""
     return cells.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         *[F.sum(f"n_{name}").alias(f"n_{name}") for name in present],
         *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in ranges],
         *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in ranges],
-        *[F.min(c).alias(c) for c in constants],
+        *[F.min(c).alias(c) for c in [*constants, *any_of]],
     )
 
 
@@ -75,15 +75,15 @@ def by_request(df: DataFrame, *more: str) -> DataFrame:
 
 
 def within(ends: tuple[str, str], least: str | None = None, most: str | None = None) -> tuple[str, str]:
-    """(can match, must match) for least <= value <= most; a null limit is not set."""
+    """(can match, must match) for least <= value <= most; limits are never null."""
     lo, hi = ends
     can, must = [], []
     if least is not None:
-        can.append(f"({least} IS NULL OR {hi} >= {least})")
-        must.append(f"({least} IS NULL OR {lo} >= {least})")
+        can.append(f"{hi} >= {least}")
+        must.append(f"{lo} >= {least}")
     if most is not None:
-        can.append(f"({most} IS NULL OR {lo} <= {most})")
-        must.append(f"({most} IS NULL OR {hi} <= {most})")
+        can.append(f"{lo} <= {most}")
+        must.append(f"{hi} <= {most}")
     return " AND ".join(can), " AND ".join(must)
 
 
@@ -97,23 +97,23 @@ def among(ends: tuple[str, str], allowed: str) -> tuple[str, str]:
     return spans, f"{listed} AND ({allowed} IS NULL OR {lo} = {hi})"
 
 
-def keep_contenders(pairs: DataFrame, k: Column, best: list[Column], worst: list[Column]) -> DataFrame:
+def keep_contenders(pairs: DataFrame, k: int, best: Column, worst: Column) -> DataFrame:
     """Drop pairs that cannot reach the first ``k`` places of their request.
 
-    ``sure`` pairs hold n rows that all match and rank no later than ``worst``.
-    Once k rows are certain, a pair whose ``best`` place comes after the worst
-    place of those is out.  Orders are ascending lists of columns.
+    ``best`` and ``worst`` are whole numbers, few of them, that rise with a pair's
+    place.  A ``sure`` pair holds n rows that all match and rank no later than
+    ``worst``.  They are counted by it, before and after the shuffle, so that what
+    meets for a request is a count for each number, however many pairs it has;
+    a pair whose best place comes after that of the k-th certain row is out.
     """
-    pairs = by_request(pairs).withColumns({"_best": F.struct(*best), "_worst": F.struct(*worst)})
-    upto = Window.partitionBy("request_id").orderBy(*worst).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("request_id")
-    certain = F.sum(F.when(F.col("sure"), F.col("n")).otherwise(0)).over(upto)
-    return (
-        pairs.withColumn("_certain", certain)
-        .withColumn("_cut", F.min(F.when(F.col("_certain") >= k, F.col("_worst"))).over(whole))
-        .filter(F.col("_cut").isNull() | (F.col("_best") <= F.col("_cut")))
-        .drop("_best", "_worst", "_certain", "_cut")
+    certain = pairs.filter("sure").groupBy("request_id", worst.alias("at")).agg(F.sum("n").alias("n"))
+    steps = certain.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("steps"))
+    kth = (
+        "aggregate(steps, named_struct('sum', 0L, 'at', CAST(NULL AS BIGINT)), (a, s) -> named_struct('sum', a.sum + s.n,"
+        f" 'at', CASE WHEN a.at IS NULL AND a.sum + s.n >= {k} THEN CAST(s.at AS BIGINT) ELSE a.at END)).at"
     )
+    cuts = steps.select("request_id", F.expr(kth).alias("_cut")).filter("_cut IS NOT NULL")
+    return pairs.join(cuts, "request_id", "left").filter(F.col("_cut").isNull() | (best <= F.col("_cut"))).drop("_cut")
 
 
 def log_band(value: Column, per_doubling: float) -> Column:
@@ -121,23 +121,34 @@ def log_band(value: Column, per_doubling: float) -> Column:
     return F.when(value > 0, F.floor(F.log2(value) * per_doubling)).otherwise(-1_000_000).cast("int")
 
 
-def contains_pairs(names: DataFrame, name: str, terms: DataFrame, term: str) -> DataFrame:
-    """The (name, term) pairs in which the name contains the term.
+#: A piece of three characters is common if more than one name in so many has it, and more than a few have.
+RARE, FEW = 16, 64
+
+
+def contains_pairs(names: DataFrame, name: str, terms: DataFrame, term: str) -> tuple[DataFrame, DataFrame]:
+    """The (name, term) pairs in which the name contains the term, for selective terms, and the other terms.
 
-    Both sides are distinct, lower-case texts.  Names are cut into all pieces
-    of up to three characters and joined on the term's beginning, then tested.
-    An empty term is in every name and must be handled by the caller.
+    Both sides are distinct, lower-case texts. Names are filed under their pieces of three characters, which are
+    counted; a term is looked up under the rarest of its own and the names found are tested. A term of one or two
+    characters, or of common pieces only, has no such piece: it is in a large share of the names, or may be, and
+    is returned for the caller to test where the names are. So no piece joins more than a bounded share of them.
     """
-    grams = F.explode(
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.length(name)),
-                    lambda at: F.array(*[F.substring(F.col(name), at, F.lit(size)) for size in (1, 2, 3)]),
-                )
-            )
+
+    def pieces(text: Column) -> Column:
+        return F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda at: F.substring(text, at, F.lit(3)))
         )
+
+    filed = names.filter(F.length(name) >= 3).select(name, F.explode(pieces(F.col(name))).alias("_piece"))
+    counted = filed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
+    most = F.greatest(names.agg(F.count(F.lit(1))).scalar() / RARE, F.lit(FEW))
+    asked = terms.filter(F.length(term) >= 3).select(term, F.explode(pieces(F.col(term))).alias("_piece"))
+    rarest = (
+        asked.join(counted, "_piece", "left")
+        .groupBy(term)
+        .agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("names"), "_piece")).alias("rare"))
+        .select(term, F.col("rare._piece").alias("_piece"), (F.col("rare.names") <= most).alias("_selective"))
     )
-    pieces = names.filter(F.length(name) > 0).select(name, grams.alias("_gram"))
-    starts = terms.filter(F.length(term) > 0).select(term, F.substring(term, 1, 3).alias("_gram"))
-    return pieces.join(starts, "_gram").filter(F.contains(F.col(name), F.col(term))).select(name, term)
+    found = filed.join(rarest.filter("_selective").drop("_selective"), "_piece").filter(F.contains(F.col(name), F.col(term)))
+    others = terms.filter((F.length(term) > 0) & (F.length(term) < 3)).select(term).unionAll(rarest.filter("NOT _selective").select(term))
+    return found.select(name, term), others

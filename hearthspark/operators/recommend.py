@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthspark.functions import cleaning, codes, geo, scoring
 from hearthspark.operators import bounds, features
 from hearthspark.schemas import REC_DEFAULTS, REC_REQUEST, conform
+from hearthspark.session import written
 
 # Pool size, price slack, radius cut, weights, labels.
 NEIGHBOURS = 50
@@ -30,13 +31,20 @@ CELL = BLOCK + ["price_band", "size_band"]
 RANGES = ["price", "x_price", "x_size_sqft", "x_beds_int", "x_bath_int"]
 SALTS = 8
 SLACK = 1e-9
+# Similarities are compared in steps of this share when the 50th certain neighbour is looked for.
+STEP = 2048
+EVERYWHERE = "*"
 
 
 @dataclass
 class RecommendIndex:
+    """Listings and their summaries; ``paths`` and ``segments`` are what levels are decided on."""
+
     rows: DataFrame
     cells: DataFrame
     blocks: DataFrame
+    paths: DataFrame
+    segments: DataFrame
     scaling: DataFrame
     vocabulary: DataFrame
     max_popularity: DataFrame
@@ -80,10 +88,18 @@ def build_index(model: DataFrame, stage: Stage = _inline) -> RecommendIndex:
         .drop("_twin"),
     )
     cells = stage("cells", lambda: bounds.summarise(rows, CELL, RANGES, {}))
-    blocks = stage("blocks", lambda: bounds.salted(bounds.roll_up(cells, BLOCK, RANGES, []), BLOCK, SALTS))
+    blocks = stage("blocks", lambda: _filed(bounds.roll_up(cells, BLOCK, RANGES, [])))
+    paths = stage("paths", lambda: bounds.roll_up(cells, [*SEGMENT, "full_location_path"], ["price"], []))
+    segments = stage("segments", lambda: bounds.roll_up(paths, SEGMENT, ["price"], []))
     vocabulary = stage("vocabulary", lambda: features.category_vocabulary(model))
     top = stage("max_popularity", lambda: model.agg(F.max("smart_popularity_score").alias("max_popularity")))
-    return RecommendIndex(rows, cells, blocks, scaling, vocabulary, top)
+    return RecommendIndex(rows, cells, blocks, paths, segments, scaling, vocabulary, top)
+
+
+def _filed(blocks: DataFrame) -> DataFrame:
+    """Every block under its path and under "any"."""
+    keys = F.array(F.concat(F.lit("path:"), F.col("full_location_path")), F.lit(EVERYWHERE))
+    return bounds.salted(blocks, BLOCK, SALTS).withColumn("path_key", F.explode(keys))
 
 
 # --- queries -------------------------------------------------------------------
@@ -117,114 +133,124 @@ def resolve(requests: DataFrame) -> DataFrame:
     )
 
 
-def _weight_key(feature: Column, value: Column) -> Column:
-    return F.concat(feature, F.lit("="), value)
+def _entries(*values: Column) -> Column:
+    return F.explode(F.array(*values)).alias("entry")
 
 
-def request_vectors(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
-    """(request_id, x_..., weights): scaled numbers, and weight 1 per known category.
+def own_weights(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
+    """(owner, feature, value, weight): weight 1 for each known category of a request.
 
     The offering is no dimension of a request's vector: the request says it in
     words, which the fitted categories do not hold.
     """
     named = [c for c in features.CATEGORIES if c != "offering_type"]
-    asked = resolved.select(
-        "request_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in named])
-        ).alias("a"),
-    ).select("request_id", "a.feature", "a.value")
-    known = (
-        asked.join(index.vocabulary, ["feature", "value"])
-        .groupBy("request_id")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct(_weight_key(F.col("feature"), F.col("value")), F.lit(1.0)))
-            ).alias("weights")
-        )
-    )
-    scaled = features.with_scaling(resolved, index.scaling)
-    return scaled.select("request_id", *[f"x_{c}" for c in features.NUMERIC]).join(known, "request_id", "left").select(
-        "request_id",
-        *[f"x_{c}" for c in features.NUMERIC],
-        F.coalesce("weights", F.create_map().cast("map<string,double>")).alias("weights"),
+    entries = _entries(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in named])
+    return (
+        resolved.select(_request_owner().alias("owner"), entries)
+        .select("owner", "entry.*")
+        .join(index.vocabulary, ["feature", "value"])
+        .select("owner", "feature", "value", F.lit(1.0).alias("weight"))
     )
 
 
-def user_centroids(history: DataFrame, model: DataFrame, scaling: DataFrame) -> DataFrame:
-    """(user_id, n, x_..., weights): the mean vector of each user's listings.
+def _request_owner() -> Column:
+    return F.concat(F.lit("request "), F.col("request_id").cast("string"))
 
-    Shares of categories are counted before anything is collected, so a
-    user's map has at most one entry per category value, however long the
-    history.
-    """
+
+def _user_owner() -> Column:
+    return F.concat(F.lit("user "), F.col("user_id").cast("string"))
+
+
+def _seen(history: DataFrame, model: DataFrame, scaling: DataFrame) -> DataFrame:
+    """The listings of each user's history, each once, with scaled numbers and categories."""
     seen = history.select("user_id", F.col("property_listing_id").cast("string")).distinct()
     listed = features.with_scaling(model, scaling).select(
         "property_listing_id",
         *[f"x_{c}" for c in features.NUMERIC],
         *[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in features.CATEGORIES],
     )
-    joined = seen.join(listed, "property_listing_id")
-    means = joined.groupBy("user_id").agg(
+    return seen.join(listed, "property_listing_id")
+
+
+def user_centroids(history: DataFrame, model: DataFrame, scaling: DataFrame) -> DataFrame:
+    """(user_id, n, x_...): the mean numbers of each user's listings."""
+    return _seen(history, model, scaling).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(f"x_{c}").alias(f"x_{c}") for c in features.NUMERIC]
     )
-    entry = F.explode(F.array(*[_weight_key(F.lit(c), F.col(c)) for c in features.CATEGORIES]))
-    shares = (
-        joined.select("user_id", entry.alias("entry"))
-        .groupBy("user_id", "entry")
+
+
+def user_shares(history: DataFrame, model: DataFrame, scaling: DataFrame) -> DataFrame:
+    """(user_id, feature, value, share): which share of a user's listings has a category value, one row for each."""
+    joined = _seen(history, model, scaling)
+    entries = _entries(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.CATEGORIES])
+    counted = (
+        joined.select("user_id", entries)
+        .groupBy("user_id", "entry.feature", "entry.value")
         .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("user_id")
-        .agg(F.collect_list(F.struct("entry", "c")).alias("entries"))
-    )
-    weights = F.map_from_entries(
-        F.transform("entries", lambda e: F.struct(e["entry"].alias("key"), (e["c"] / F.col("n")).alias("value")))
-    )
-    return means.join(shares, "user_id").select(
-        "user_id", "n", *[f"x_{c}" for c in features.NUMERIC], weights.alias("weights")
     )
+    totals = joined.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(totals, "user_id").select("user_id", "feature", "value", (F.col("c") / F.col("n")).alias("share"))
 
 
 def query_vectors(
     resolved: DataFrame, index: RecommendIndex, history: DataFrame | None, model: DataFrame | None
-) -> DataFrame:
-    """The vector each request is compared by: its user's centroid if there is one."""
-    own = request_vectors(resolved, index)
+) -> tuple[DataFrame, DataFrame]:
+    """The vector each request is compared by: its user's centroid if there is one.
+
+    (request_id, personalized, owner, q_..., q_norm), and the category weights of
+    the owners as rows: (owner, feature, value, weight). An owner is a request or a
+    user; the weights of a user are there once, however many requests or categories.
+    """
+    numbers = [f"x_{c}" for c in features.NUMERIC]
+    own = features.with_scaling(resolved, index.scaling).select("request_id", "user_id", _request_owner().alias("owner"), *numbers)
+    weights = own_weights(resolved, index)
     if history is None or model is None:
-        vectors = own.withColumn("personalized", F.lit(False))
+        vectors = own.drop("user_id").withColumn("personalized", F.lit(False))
     else:
         wanted = history.join(resolved.select("user_id").distinct(), "user_id", "left_semi")
-        users = user_centroids(wanted, model, index.scaling).drop("n")
-        theirs = resolved.select("request_id", "user_id").join(users, "user_id")
-        both = own.join(
-            theirs.select("request_id", F.struct(*[f"x_{c}" for c in features.NUMERIC], "weights").alias("u")),
+        users = user_centroids(wanted, model, index.scaling).select("user_id", F.struct(*numbers).alias("u"))
+        shares = user_shares(wanted, model, index.scaling)
+        weights = weights.unionAll(shares.select(_user_owner().alias("owner"), "feature", "value", F.col("share").alias("weight")))
+        theirs = F.col("u").isNotNull()
+        vectors = own.join(users, "user_id", "left").select(
             "request_id",
-            "left",
+            F.when(theirs, _user_owner()).otherwise(F.col("owner")).alias("owner"),
+            *[F.when(theirs, F.col(f"u.{x}")).otherwise(F.col(x)).alias(x) for x in numbers],
+            theirs.alias("personalized"),
         )
-        vectors = both.select(
-            "request_id",
-            *[
-                F.when(F.col("u").isNotNull(), F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
-                for c in [*[f"x_{n}" for n in features.NUMERIC], "weights"]
-            ],
-            F.col("u").isNotNull().alias("personalized"),
-        )
-    squares = sum((F.col(f"x_{c}") * F.col(f"x_{c}") for c in features.NUMERIC), F.lit(0.0))
-    from_categories = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda total, w: total + w * w)
-    return vectors.select(
+    weights = written(weights, "weights")
+    lengths = weights.groupBy("owner").agg(F.sum(F.col("weight") * F.col("weight")).alias("_squares"))
+    squares = sum((F.col(x) * F.col(x) for x in numbers), F.lit(0.0))
+    return vectors.join(lengths, "owner", "left").select(
         "request_id",
         "personalized",
-        "weights",
+        "owner",
         *[F.col(f"x_{c}").alias(f"q_{c}") for c in features.NUMERIC],
-        F.sqrt(squares + from_categories).alias("q_norm"),
-    )
+        F.sqrt(squares + F.coalesce("_squares", F.lit(0.0))).alias("q_norm"),
+    ), weights
 
 
 # --- candidates ----------------------------------------------------------------
 
-def category_weight() -> str:
-    """What the categories of a listing add to the dot product with ``weights``."""
-    return " + ".join(
-        f"coalesce(try_element_at(weights, concat('{c}=', {c})), 0D)" for c in features.CATEGORIES
+def with_shared(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Adds ``shared``: what the categories of a block add to the dot product with its request's vector.
+
+    Blocks meet the weights by owner and category value. All listings of a block have its categories, so cells and
+    rows keep the number. The parts are added in one order, so that blocks of equal categories come out equal.
+    """
+    entries = _entries(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features.CATEGORIES])
+    met = pairs.select("request_id", "owner", *BLOCK, entries).select("request_id", "owner", *BLOCK, "entry.*")
+    found = met.join(weights, ["owner", "feature", "value"])
+    parts = {c: F.max(F.when(F.col("feature") == c, F.col("weight"))) for c in features.CATEGORIES}
+    sums = found.groupBy("request_id", *BLOCK).agg(*[F.coalesce(v, F.lit(0.0)).alias(f"_w_{c}") for c, v in parts.items()])
+    shared = sum((F.col(f"_w_{c}") for c in features.CATEGORIES), F.lit(0.0))
+    sums = sums.select("request_id", *BLOCK, shared.alias("shared"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in BLOCK] + [F.col("request_id") == F.col("_request_id")]
+    renamed = sums.withColumnsRenamed({c: f"_{c}" for c in [*BLOCK, "request_id"]})
+    return (
+        pairs.join(renamed, same, "left")
+        .drop(*[f"_{c}" for c in BLOCK], "_request_id")
+        .withColumn("shared", F.coalesce("shared", F.lit(0.0)))
     )
 
 
@@ -239,9 +265,9 @@ def _norm(prefix: str) -> str:
 
 
 def similarity() -> Column:
-    """Cosine of a listing (x_ columns, categories) and a query (q_ columns, weights)."""
+    """Cosine of a listing (x_ columns, categories) and a query (q_ columns, ``shared`` categories)."""
     numbers = " + ".join(f"x_{c} * q_{c}" for c in features.NUMERIC)
-    return F.expr(_cosine(f"{category_weight()} + {numbers}", _norm("x_")))
+    return F.expr(_cosine(f"shared + {numbers}", _norm("x_")))
 
 
 def with_similarity_bounds(df: DataFrame) -> DataFrame:
@@ -253,15 +279,15 @@ def with_similarity_bounds(df: DataFrame) -> DataFrame:
         " + ".join(f"{pick}(lo_x_{c} * q_{c}, hi_x_{c} * q_{c})" for c in features.NUMERIC)
         for pick in ("least", "greatest")
     )
-    parts = df.selectExpr("*", f"{category_weight()} AS _shared").selectExpr(
-        "*", f"_shared + {low} AS _dot_lo", f"_shared + {high} AS _dot_hi",
+    parts = df.selectExpr(
+        "*", f"shared + {low} AS _dot_lo", f"shared + {high} AS _dot_hi",
         f"{_norm('lo_x_')} AS _short", f"{_norm('hi_x_')} AS _long",
     )
     return parts.selectExpr(
         "*",
         _cosine("_dot_lo", "CASE WHEN _dot_lo >= 0 THEN _long ELSE _short END") + f" - {SLACK}D AS sim_lo",
         _cosine("_dot_hi", "CASE WHEN _dot_hi >= 0 THEN _short ELSE _long END") + f" + {SLACK}D AS sim_hi",
-    ).drop("_shared", "_dot_lo", "_dot_hi", "_short", "_long")
+    ).drop("_dot_lo", "_dot_hi", "_short", "_long")
 
 
 def _level(cheapest: Column, dearest: Column) -> Column:
@@ -288,7 +314,7 @@ def _assess(df: DataFrame) -> DataFrame:
 
 
 _CARRIED = [
-    "request_id", "level", "cap", "want_beds", "place", "personalized", "weights",
+    "request_id", "level", "cap", "want_beds", "place", "personalized", "shared",
     *[f"q_{c}" for c in features.NUMERIC], "q_norm",
 ]
 
@@ -305,21 +331,59 @@ def _segments(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
     )
 
 
-def _leveled_blocks(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
-    """Requests with the blocks of their level, the first that has anything.
+def _asking(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
+    return _segments(resolved, index).select(
+        "request_id", "offering_type", "property_type", "cap", "place", F.col("beds_int").alias("want_beds")
+    )
 
-    A block's own level is that of its cheapest listing, so the smallest block
-    level is the request's level.
+
+def _places(asking: DataFrame, index: RecommendIndex) -> DataFrame:
+    """(place, path_key): the paths that contain a place, or all if it is in very many of them, or empty."""
+    paths = index.paths.select("full_location_path").distinct()
+    places = asking.select("place").distinct()
+    found, common = bounds.contains_pairs(paths, "full_location_path", places, "place")
+    every = common.unionAll(places.filter("place = ''"))
+    return found.select("place", F.concat(F.lit("path:"), F.col("full_location_path")).alias("path_key")).unionAll(
+        every.select("place", F.lit(EVERYWHERE).alias("path_key"))
+    )
+
+
+def request_levels(asking: DataFrame, index: RecommendIndex, places: DataFrame) -> DataFrame:
+    """(request_id, level): the first level at which a request finds anything, decided on prices by segment and path.
+
+    The cheapest and the dearest listing of a segment tell the levels of any place; those of its paths, which a
+    request meets by the paths that contain its place, tell the first level.
     """
-    asking = _segments(resolved, index).select(
-        "request_id", "offering_type", "property_type", "cap", "place",
-        F.col("beds_int").alias("want_beds"),
-        F.explode(F.array(F.col("beds_int") - 1, F.col("beds_int"), F.col("beds_int") + 1)).alias("beds_int"),
+    beds = F.explode(F.array(F.col("want_beds") - 1, F.col("want_beds"), F.col("want_beds") + 1))
+    nowhere = F.lit(None).cast("string").alias("full_location_path")
+    anywhere = asking.withColumn("beds_int", beds).join(index.segments, SEGMENT).select("*", nowhere)
+    keyed = index.paths.withColumn(
+        "path_key", F.explode(F.array(F.concat(F.lit("path:"), F.col("full_location_path")), F.lit(EVERYWHERE)))
     )
-    pairs = bounds.salted_join(asking, index.blocks, SEGMENT, SALTS)
-    leveled = pairs.withColumn("level", _level(F.col("lo_price"), F.col("hi_price"))).filter("level IS NOT NULL")
-    best = bounds.by_request(leveled).withColumn("_best", F.min("level").over(Window.partitionBy("request_id")))
-    return best.filter(F.col("level") == F.col("_best")).drop("_best")
+    here = asking.withColumn("beds_int", F.col("want_beds")).join(places, "place").join(keyed, [*SEGMENT, "path_key"])
+    level = _level(F.col("lo_price"), F.col("hi_price"))
+    return (
+        anywhere.select("request_id", level.alias("level"))
+        .unionAll(here.select("request_id", level.alias("level")))
+        .filter("level IS NOT NULL")
+        .groupBy("request_id")
+        .agg(F.min("level").alias("level"))
+    )
+
+
+def _leveled_blocks(resolved: DataFrame, index: RecommendIndex) -> DataFrame:
+    """Requests with the blocks of their level, the first that has anything; no others are opened."""
+    asking = written(_asking(resolved, index), "asking")
+    places = written(_places(asking, index), "places")
+    levels = request_levels(asking, index, places)
+    leveled = asking.join(levels, "request_id")
+    wanted = F.col("want_beds")
+    beds = F.explode(F.when(F.col("level") <= 2, F.array(wanted)).otherwise(F.array(wanted - 1, wanted, wanted + 1)))
+    first = F.col("level") == 1
+    meets = leveled.join(places.withColumnRenamed("place", "_place"), first & (F.col("place") == F.col("_place")), "left")
+    meets = meets.withColumns({"beds_int": beds, "path_key": F.coalesce("path_key", F.lit(EVERYWHERE))}).drop("_place")
+    pairs = bounds.salted_join(meets, index.blocks, [*SEGMENT, "path_key"], SALTS).drop("path_key")
+    return pairs.filter(_level(F.col("lo_price"), F.col("hi_price")) == F.col("level"))
 
 
 def candidates(
@@ -330,14 +394,14 @@ def candidates(
 ) -> DataFrame:
     """The 50 most similar listings of each request's level."""
     resolved = resolve(requests)
-    vectors = query_vectors(resolved, index, history, model)
-    first, last = [-F.col("sim_hi")], [-F.col("sim_lo")]
-    k = F.lit(NEIGHBOURS)
-    blocks = _assess(_leveled_blocks(resolved, index).join(vectors, "request_id"))
-    blocks = bounds.keep_contenders(blocks, k, first, last)
+    vectors, weights = query_vectors(resolved, index, history, model)
+    best, worst = (F.floor(-F.col(c) * STEP) for c in ("sim_hi", "sim_lo"))
+    leveled = written(_leveled_blocks(resolved, index).join(vectors, "request_id"), "leveled")
+    blocks = written(_assess(with_shared(leveled, weights)), "blocks")
+    blocks = bounds.keep_contenders(blocks, NEIGHBOURS, best, worst)
     cells = blocks.select(*_CARRIED, *BLOCK).join(index.cells, BLOCK)
-    cells = _assess(cells.filter(_level(F.col("lo_price"), F.col("hi_price")) == F.col("level")))
-    cells = bounds.keep_contenders(cells, k, first, last)
+    cells = written(_assess(cells.filter(_level(F.col("lo_price"), F.col("hi_price")) == F.col("level"))), "cells")
+    cells = bounds.keep_contenders(cells, NEIGHBOURS, best, worst)
     rows = (
         cells.select(*_CARRIED, *CELL)
         .join(index.rows, CELL)
@@ -413,7 +477,8 @@ def statuses(requests: DataFrame, index: RecommendIndex) -> DataFrame:
     """(request_id, status, level): ok, no_inventory or no_match."""
     resolved = resolve(requests)
     stocked = _segments(resolved, index).select("request_id").distinct().withColumn("stocked", F.lit(True))
-    levels = _leveled_blocks(resolved, index).groupBy("request_id").agg(F.min("level").alias("level"))
+    asking = _asking(resolved, index)
+    levels = request_levels(asking, index, _places(asking, index))
     status = (
         F.when(F.col("level").isNotNull(), "ok").when(F.col("stocked"), "no_match").otherwise("no_inventory")
     )

@@ -13,6 +13,7 @@ from hearthspark import schemas
 from hearthspark.functions import cleaning, codes, geo, scoring
 from hearthspark.operators import bounds, features, quantiles
 from hearthspark.schemas import conform
+from hearthspark.session import written
 
 # Radius rungs in km, the boost for dear searches, rank per km.
 RUNGS_KM = [1.5, 3.5, 10.0]
@@ -23,7 +24,7 @@ TRUST_QUANTILE = 0.95
 TRUST_FLOOR = 0.1
 
 BLOCK = ["offering_type", "property_type", "location_name", "beds_int", "grid", "grid_1", "grid_2"]
-# A cell is a block's price band, a factor of four wide: about ten listings or more in the sample tables.
+# A cell is a block's price band, a factor of four wide, or a whole small block.
 CELL = BLOCK + ["price_band"]
 BANDS_PER_DOUBLING = 0.5
 VARYING = [
@@ -35,8 +36,14 @@ BLOCK_ID = ["block_a", "block_b"]
 CELL_ID = BLOCK_ID + ["cell_id"]
 FILED = ["offering_key", "beds_key", "place"]
 SALTS = 8
-SHARDS = 64
 EVERYWHERE = "*"
+_NEVER_BELOW = float("-inf")
+# A block of up to so many rows is one cell; larger ones have a cell for each price band.
+SMALL = 64
+# Rows of a cell that one task sorts: larger cells are cut into shards by id.
+PER_SHARD = 100_000
+# Rows are filed under bands of their place in the cell: the first so many, then each band is four times as long.
+FIRST_BAND = 64
 
 
 # --- preparation ---------------------------------------------------------------
@@ -100,9 +107,10 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
     ``stage(name, make)`` may write a table and return it read back.
 
     Within a cell each row knows its place in the five orders a page can ask
-    for.  A cell with very many rows is split into shards by id first: the
-    first k of a cell are among the first k of its shards, and no task sorts
-    a whole hot cell.
+    for.  A cell with very many rows is split into shards by id first, as many
+    as its block's size asks for: the first k of a cell are among the first k
+    of its shards, and no task sorts a whole hot cell.  ``lead`` is the band of
+    a row's best place, so that the first rows of a cell are met alone.
 
     Blocks and cells go by hashes of their keys, two for a block and a third
     for its cells: 128 bits and more, which do not collide in practice.
@@ -121,14 +129,20 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
         (F.lit(0.0) if ai_score is None else ai_score).alias("ai_score"),
         geo.grid_cell(F.col("latitude"), F.col("longitude")).alias("grid"),
         *[geo.grid_cell(F.col("latitude"), F.col("longitude"), k).alias(f"grid_{k}") for k in (1, 2)],
-        bounds.log_band(F.col("price"), BANDS_PER_DOUBLING).alias("price_band"),
-        F.pmod(F.xxhash64("property_listing_id"), F.lit(SHARDS)).cast("int").alias("shard"),
-    ).withColumns(
-        {
-            "block_a": F.xxhash64(*BLOCK),
-            "block_b": F.xxhash64(F.lit("b"), *BLOCK),
-            "cell_id": F.xxhash64(*CELL),
-        }
+    ).withColumns({"block_a": F.xxhash64(*BLOCK), "block_b": F.xxhash64(F.lit("b"), *BLOCK)})
+    large = stage(
+        "large", lambda: plain.groupBy(*BLOCK_ID).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > SMALL)
+    )
+    shards = F.coalesce(F.ceil(F.col("_size") / PER_SHARD), F.lit(1))
+    plain = (
+        plain.join(large, BLOCK_ID, "left")
+        .withColumn(
+            "price_band",
+            F.when(F.col("_size").isNotNull(), bounds.log_band(F.col("price"), BANDS_PER_DOUBLING)),
+        )
+        .withColumn("cell_id", F.xxhash64(*CELL))
+        .withColumn("shard", F.pmod(F.xxhash64("property_listing_id"), shards))
+        .drop("_size")
     )
 
     def place(*order) -> Column:
@@ -144,7 +158,9 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
                 "nth_newest": place(F.desc_nulls_last("listed_at")),
                 "nth_ai": place(F.desc("ai_score")),
             }
-        ).drop("shard", "grid", "grid_1", "grid_2", "price_band"),
+        )
+        .withColumn("lead", _band(F.least("nth_id", "nth_price", "nth_price_desc", "nth_newest", "nth_ai")))
+        .drop("shard", "grid", "grid_1", "grid_2", "price_band"),
     )
     present = {
         "dated": F.col("listed_at").isNotNull(),
@@ -161,11 +177,20 @@ def build_index(serving: DataFrame, ai_score: Column | None = None, stage: Stage
         *[f"{end}_{c}" for c in VARYING for end in ("lo", "hi")],
         "mid_lat", "mid_lon", "reach_km",
     )
-    blocks = stage("blocks", lambda: _filed(_with_reach(bounds.roll_up(fine, BLOCK_ID, RANGES, list(present), BLOCK))))
+    rolled = bounds.roll_up(fine, BLOCK_ID, RANGES, list(present), BLOCK, ["cell_id"])
+    only = F.when(F.col("n") <= SMALL, F.col("cell_id")).alias("cell_id")
+    blocks = stage(
+        "blocks", lambda: _filed(_with_reach(rolled.select(*(c for c in rolled.columns if c != "cell_id"), only)))
+    )
     centroids = stage("centroids", lambda: location_centroids(serving))
     return SearchIndex(rows, cells, blocks, centroids, threshold)
 
 
+def _band(place: Column) -> Column:
+    """0 for the first FIRST_BAND places, then one more whenever the place is four times as far."""
+    return F.when(place <= FIRST_BAND, 0).otherwise(F.ceil(F.log2(place / FIRST_BAND) / 2)).cast("int")
+
+
 def _with_reach(summary: DataFrame) -> DataFrame:
     """The middle of a summary's coordinates, and how far its listings can be from it."""
     lat_span, lon_span = (F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in ("latitude", "longitude"))
@@ -231,6 +256,15 @@ def _set(value: Column) -> Column:
     return F.when(value != 0, value)
 
 
+def _least(value: Column) -> Column:
+    """A lower limit; one that is not set lies below everything, so that the tests need not ask."""
+    return F.coalesce(_set(value), F.lit(_NEVER_BELOW))
+
+
+def _most(value: Column) -> Column:
+    return F.coalesce(_set(value), F.lit(-_NEVER_BELOW))
+
+
 def _listed(value: Column, kind: str) -> Column:
     return F.when(F.size(value) > 0, F.array_distinct(value.cast(f"array<{kind}>")))
 
@@ -259,17 +293,17 @@ def resolve(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
             "term",
             codes.lookup(codes.OFFERING_BY_CATEGORY, F.col("category_id")).alias("q_offering"),
             codes.type_names(F.col("property_type_ids")).alias("q_types"),
-            _set(F.col("min_price")).alias("q_min_price"),
-            _set(F.col("max_price")).alias("q_max_price"),
-            _set(F.col("min_area")).alias("q_min_area"),
-            _set(F.col("max_area")).alias("q_max_area"),
+            _least(F.col("min_price")).alias("q_min_price"),
+            _most(F.col("max_price")).alias("q_max_price"),
+            _least(F.col("min_area")).alias("q_min_area"),
+            _most(F.col("max_area")).alias("q_max_area"),
             _listed(F.col("number_of_bedrooms"), "double").alias("q_beds"),
             _listed(F.col("number_of_bathrooms"), "double").alias("q_baths"),
             F.when(F.col("is_super_agent"), 1).alias("q_trusted"),
             F.when(F.col("is_verified"), 1).alias("q_verified"),
             codes.lookup(codes.FURNISHED_BY_CODE, _set(F.col("furnished"))).alias("q_furnished"),
             codes.lookup(codes.COMPLETION_BY_CODE, F.col("completion_status")).alias("q_completion"),
-            (now - _set(F.col("listed_within")).cast("bigint") * 1_000_000).cast("double").alias("q_since"),
+            F.coalesce((now - _set(F.col("listed_within")).cast("bigint") * 1_000_000).cast("double"), F.lit(_NEVER_BELOW)).alias("q_since"),
             F.when(near, F.col("near_by.lat")).otherwise(F.col("center.latitude")).alias("q_lat"),
             F.when(near, F.col("near_by.lon")).otherwise(F.col("center.longitude")).alias("q_lon"),
             F.when(near, F.col("near_by.radius"))
@@ -303,22 +337,29 @@ def without_geo(resolved: DataFrame) -> DataFrame:
 def _places(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     """Adds the place keys a request must visit: grid cells, matching names or everywhere.
 
-    A text search gets one row per location name that contains its term.
+    A text search gets one row per location name that contains its term; a
+    term in very many names goes everywhere, with ``q_text`` to test there.
     """
     textual = (F.col("mode") == "text") & (F.length("term") > 0)
     names = index.names().select(F.lower("location_name").alias("name")).distinct()
     terms = resolved.filter(textual).select("term").distinct()
-    matches = bounds.contains_pairs(names, "name", terms, "term").withColumnRenamed("term", "_term")
+    matches, common = bounds.contains_pairs(names, "name", terms, "term")
     cells = geo.covering_cells(F.col("q_lat"), F.col("q_lon"), F.col("q_radius"))
     everywhere = F.array(F.lit(EVERYWHERE))
-    place = F.when(F.col("name").isNotNull(), F.array(F.concat(F.lit("name:"), F.col("name")))).when(
-        ~F.coalesce(textual, F.lit(False)),
-        F.coalesce(F.when(F.col("q_lat").isNotNull(), cells), everywhere),
+    place = (
+        F.when(F.col("name").isNotNull(), F.array(F.concat(F.lit("name:"), F.col("name"))))
+        .when(F.col("_common").isNotNull(), everywhere)
+        .when(
+            ~F.coalesce(textual, F.lit(False)),
+            F.coalesce(F.when(F.col("q_lat").isNotNull(), cells), everywhere),
+        )
     )
+    word = F.when(textual, F.col("term"))
     return (
-        resolved.join(matches, F.when(textual, F.col("term")) == F.col("_term"), "left")
-        .withColumn("place", F.explode(place))
-        .drop("name", "_term")
+        resolved.join(matches.withColumnRenamed("term", "_term"), word == F.col("_term"), "left")
+        .join(common.select(F.col("term").alias("_common")), word == F.col("_common"), "left")
+        .withColumns({"place": F.explode(place), "q_text": F.col("_common")})
+        .drop("name", "_term", "_common")
     )
 
 
@@ -341,14 +382,14 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
     tests = [
         bounds.within(ends("price"), "q_min_price", "q_max_price"),
         bounds.within(ends("size_sqft"), "q_min_area", "q_max_area"),
-        bounds.within(ends("trusted"), "q_trusted"),
-        bounds.within(ends("verified"), "q_verified"),
-        bounds.within(ends("listed_at"), "q_since"),
+        bounds.within(ends("trusted"), "coalesce(q_trusted, 0)"),
+        bounds.within(ends("verified"), "coalesce(q_verified, 0)"),
+        bounds.within(tuple(f"coalesce({end}, double('-infinity'))" for end in ends("listed_at")), "q_since"),
         bounds.among(ends("bath_int"), "q_baths"),
         bounds.among(ends("furnished_flag"), "q_furnished"),
         bounds.among(ends("completion_status"), "q_completion"),
-        bounds.within(("near_km", "near_km"), None, "q_radius"),
     ]
+    possible = [can for can, _ in tests] + ["(q_radius IS NULL OR near_km <= q_radius)"]
     if step == "row":
         km = F.round(geo.haversine("q_lat", "q_lon", "latitude", "longitude"), 9)
         df = df.withColumn("near_km", km).withColumn("far_km", F.col("near_km"))
@@ -360,10 +401,10 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
             "_km + reach_km AS far_km",
         )
         undated = "n_dated < n"
-    can = " AND ".join(possible for possible, _ in tests)
+    can = " AND ".join(possible)
     must = [certain for _, certain in tests] + [
         "(q_radius IS NULL OR far_km <= q_radius)",
-        "(q_since IS NULL OR n_dated = n)",
+        "(q_since = double('-infinity') OR n_dated = n)",
         "(q_lat IS NULL OR n_located = n)",
     ]
 
@@ -384,18 +425,28 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
         ),
     }
 
-    def key(end: int) -> str:
+    def by_order(end: int) -> str:
         return "CASE q_order " + " ".join(f"WHEN {i} THEN {keys[name][end]}" for i, name in enumerate(codes.SORTS, 1)) + " END"
 
     sure = "true" if step == "row" else f"coalesce({' AND '.join(must)}, false) AND rung = rung_last"
     replaced = [c for c in ("rung", "sure") if c in df.columns]
-    return df.filter(f"{settled} OR ({can})").drop(*replaced).selectExpr(
-        "*",
-        f"{rung('near_km')} AS rung",
-        f"{rung('far_km')} AS rung_last",
-        f"{key(0)} AS first_key",
-        f"{key(1)} AS last_key",
-    ).withColumn("sure", F.expr(sure))
+    kept = df.filter(f"{settled} OR ({can})").drop(*replaced).selectExpr("*", f"{rung('near_km')} AS rung", f"{by_order(0)} AS first_key")
+    last = "rung AS rung_last", "first_key AS last_key"
+    if step != "row":
+        last = f"{rung('far_km')} AS rung_last", f"{by_order(1)} AS last_key"
+    return kept.selectExpr("*", *last).withColumn("sure", F.expr(sure))
+
+
+def _bucket(key: str) -> Column:
+    """A whole number that never falls when the sort key rises: bands of equal ratio, days, or eighths of a point.
+
+    There are a few thousand at most for an order, however many rows there are.
+    """
+    number = {name: i for i, name in enumerate(codes.SORTS, 1)}
+    return F.expr(
+        f"CAST(CASE q_order WHEN {number['newest']} THEN least(floor({key} / 86400000000D), 1000000000)"
+        f" WHEN {number['featured']} THEN floor({key} * 8) ELSE signum({key}) * floor(log2(1 + abs({key})) * 8) END AS BIGINT)"
+    )
 
 
 def _carried(resolved: DataFrame) -> list[str]:
@@ -418,71 +469,159 @@ def block_pairs(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     )
     pairs = bounds.salted_join(asking, index.blocks, FILED, SALTS)
     named = F.col("q_types").isNull() | F.exists("q_types", lambda t: F.contains(F.col("property_type"), t))
-    return _assess(pairs.filter(named), "block")
+    worded = F.col("q_text").isNull() | F.contains(F.lower("location_name"), F.col("q_text"))
+    return _assess(pairs.filter(named & worded), "block")
+
 
+_STATE = ["n", "sure", "rung", "rung_last", "first_key", "last_key"]
 
-def _down(pairs: DataFrame, resolved: DataFrame, finer: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs opened in the next finer step.
 
-    Pairs are shuffled and sorted by request, so they stay narrow: the
-    request's own columns are joined again on the other side.
+def _open(pairs: DataFrame, finer: DataFrame, keys: list[str], step: str, which: Column) -> DataFrame:
+    """Pairs with their request's columns; those of ``which`` opened in the next finer step, the others as they are.
+
+    A pair that stays passes the join untouched, so that all pairs of a step go on as one table.
     """
-    asked = resolved.select(_carried(resolved))
-    return pairs.select("request_id", *keys).join(asked, "request_id").join(finer, keys)
+    names = [c for c in pairs.columns if c not in _STATE]
+    passed = pairs.select(
+        *names, which.alias("_open"), *[F.when(~which, F.col(c)).alias(f"_was_{c}") for c in _STATE]
+    )
+    own = [c for c in finer.columns if c in names and c not in keys]
+    renamed = finer.withColumnsRenamed({k: f"_{k}" for k in [*keys, *own]})
+    joined = passed.join(renamed, [F.col("_open"), *[F.col(k) == F.col(f"_{k}") for k in keys]], "left")
+    if step == "row":
+        joined = joined.withColumn("n", F.lit(1).cast("bigint"))
+    assessed = _assess(joined.drop(*[f"_{k}" for k in keys]), step, "NOT _open")
+    state = {c: F.when(F.col("_open"), F.col(c)).otherwise(F.col(f"_was_{c}")) for c in _STATE}
+    for c in own:
+        state[c] = F.coalesce(f"_{c}", c)
+    return assessed.withColumns(state).drop("_open", *[f"_was_{c}" for c in _STATE], *[f"_{c}" for c in own])
 
 
-def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
-    """(request_id, rung, total_count) of requests with at least one match.
+@dataclass
+class Matches:
+    """What matches a batch of requests, down to cells, and where its pages begin and end.
 
-    Only the nearest rung with a match counts.  A pair that matches as a whole
-    is counted from its summary and passes the finer joins untouched; the
-    others are opened until every part is counted.
+    ``parts`` are blocks and cells: all rows of a ``sure`` part match, the others hold rows that may. ``ends`` has for
+    each request with a match the nearest rung, its total count, and what is known of its page: rows whose sort key is
+    above ``page_last`` come after it; ``passed`` rows, all those counted whose key is at most ``page_first``, before it.
     """
-    carried = _carried(resolved)
 
-    def settle(pairs: DataFrame, finer: DataFrame, keys: list[str]) -> DataFrame:
-        """Open the unsettled pairs of a step in the next finer one."""
-        asked = pairs.select(
-            *carried, *keys, F.col("sure").alias("settled"),
-            F.when(F.col("sure"), F.col("n")).alias("was_n"), F.col("rung").alias("was_rung"),
-        )
-        same = [F.col(k) == F.col(f"_{k}") for k in keys]
-        return asked.join(
-            finer.withColumnsRenamed({k: f"_{k}" for k in keys}), [~F.col("settled"), *same], "left"
-        ).drop(*[f"_{k}" for k in keys])
-
-    def count(opened: DataFrame, step: str, n: Column) -> DataFrame:
-        settled = F.col("settled")
-        return _assess(opened, step, "settled").withColumns(
+    asked: DataFrame
+    parts: DataFrame
+    ends: DataFrame
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.ends.select("request_id", "rung", "total_count")
+
+
+def match(resolved: DataFrame, index: SearchIndex) -> Matches:
+    """One way down for counts and pages: blocks, the cells of large unsure blocks, rows of unsure cells.
+
+    Rows are counted by bucket of their sort key where they are read; only the counts are shuffled.
+    """
+    asked = written(resolved, "asked")
+    carried = _carried(asked)
+    blocks = block_pairs(asked, index).select(*carried, *CELL_ID, *_STATE)
+    opened = _open(blocks, index.cells, BLOCK_ID, "cell", ~F.col("sure") & F.col("cell_id").isNull())
+    parts = written(opened.select("request_id", *CELL_ID, *_STATE), "parts")
+    tested = index.rows.select(*CELL_ID, "beds_int", *VARYING, "latitude", "longitude")
+    rows = _open(_with_request(parts, asked), tested, CELL_ID, "row", ~F.col("sure"))
+    counted = (
+        rows.groupBy("request_id", "rung", _bucket("first_key").alias("first"), _bucket("last_key").alias("last"))
+        .agg(F.sum("n").alias("n"), F.max("last_key").alias("top"))
+    )
+    return Matches(asked, parts, written(_ends(asked, counted), "ends"))
+
+
+def _with_request(parts: DataFrame, asked: DataFrame) -> DataFrame:
+    return bounds.by_request(parts).join(asked.select(_carried(asked)), "request_id")
+
+
+def _ends(asked: DataFrame, counted: DataFrame) -> DataFrame:
+    """(request_id, rung, total_count, page_first, page_last, passed) from counts by rung, first and last bucket.
+
+    Counts are summed up by bucket before they meet; what is gathered for a request is one entry for each rung and
+    bucket. A bucket's ``certain`` rows have their last possible key in it, its ``possible`` rows their first.
+    """
+    none = F.lit(None).cast("double").alias("top")
+    sides = F.array(
+        F.struct(F.col("last").alias("bucket"), F.col("n").alias("certain"), F.lit(0).cast("bigint").alias("possible"), "top"),
+        F.struct(F.col("first").alias("bucket"), F.lit(0).cast("bigint").alias("certain"), F.col("n").alias("possible"), none),
+    )
+    entries = (
+        counted.select("request_id", "rung", F.explode(sides).alias("side"))
+        .groupBy("request_id", "rung", "side.bucket")
+        .agg(F.sum("side.certain").alias("certain"), F.sum("side.possible").alias("possible"), F.max("side.top").alias("top"))
+    )
+    steps = entries.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct("rung", "bucket", "certain", "possible", "top"))).alias("every")
+    )
+    nearest = steps.select("request_id", F.expr("every[0].rung AS rung"), F.expr("filter(every, s -> s.rung = every[0].rung) AS steps"))
+    start = "named_struct('sum', 0L, 'at', CAST(NULL AS BIGINT))"
+    last = (
+        f"aggregate(steps, {start}, (a, s) -> named_struct('sum', a.sum + s.certain,"
+        " 'at', CASE WHEN a.at IS NULL AND a.sum + s.certain >= upto THEN s.bucket ELSE a.at END)).at"
+    )
+    first = (
+        f"aggregate(steps, {start}, (a, s) -> named_struct('sum', a.sum + s.possible,"
+        " 'at', CASE WHEN a.sum + s.possible <= skip THEN s.bucket ELSE a.at END)).at"
+    )
+    total = "aggregate(steps, 0L, (a, s) -> a + s.certain)"
+    passed = "aggregate(filter(steps, s -> s.bucket <= first_bucket), 0L, (a, s) -> a + s.certain)"
+    return (
+        nearest.join(asked.select("request_id", "upto", "skip"), "request_id")
+        .withColumns({"last_bucket": F.expr(last), "first_bucket": F.expr(first), "total_count": F.expr(total)})
+        .withColumns(
             {
-                "rung": F.when(settled, F.col("was_rung")).otherwise(F.col("rung")),
-                "n": F.when(settled, F.col("was_n")).otherwise(n),
-                "sure": settled | F.col("sure"),
+                "passed": F.expr(passed),
+                "page_first": F.expr("array_max(transform(filter(steps, s -> s.bucket <= first_bucket), s -> s.top))"),
+                "page_last": F.expr("array_max(transform(filter(steps, s -> s.bucket = last_bucket), s -> s.top))"),
             }
         )
-
-    blocks = block_pairs(resolved, index)
-    cells = count(settle(blocks, index.cells, BLOCK_ID), "cell", F.col("n"))
-    tested = index.rows.select(*CELL_ID, "beds_int", *VARYING, "latitude", "longitude")
-    rows = count(settle(cells, tested, CELL_ID), "row", F.lit(1))
-    counted = rows.groupBy("request_id", "rung").agg(F.sum("n").alias("n"))
-    return counted.groupBy("request_id").agg(
-        F.min("rung").alias("rung"), F.min_by("n", "rung").alias("total_count")
+        .select("request_id", "rung", "total_count", "page_first", "page_last", "passed")
     )
 
 
+def _up_to_page(parts: DataFrame) -> DataFrame:
+    """Parts that can hold rows of the page's rung, not after its last key."""
+    after = F.coalesce(F.col("first_key") > F.col("page_last"), F.lit(False))
+    return parts.filter(F.col("page_rung").between(F.col("rung"), F.col("rung_last")) & ~after)
+
+
+def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
+    """(request_id, rung, total_count) of requests with at least one match.
+
+    Only the nearest rung with a match counts.
+    """
+    return match(resolved, index).counts
+
+
 def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     """The first ``upto`` listings of each request in its order, with ``position``."""
-    best = [F.col("rung"), F.col("first_key")]
-    worst = [F.col("rung_last"), F.col("last_key")]
-    k = F.col("upto")
-    blocks = bounds.keep_contenders(block_pairs(resolved, index), k, best, worst)
-    cells = bounds.keep_contenders(
-        _assess(_down(blocks, resolved, index.cells, BLOCK_ID), "cell"), k, best, worst
+    return listings(match(resolved.withColumn("skip", F.lit(0).cast("bigint")), index), index)
+
+
+def listings(found: Matches, index: SearchIndex) -> DataFrame:
+    """The rows of the pages, with their ``position`` in the request's order.
+
+    Parts outside the page's keys are dropped, large sure blocks are opened in their cells, and what is left is
+    opened in rows: of a sure cell only the first ``upto`` in the request's order, by bands of their place. Rows are
+    ranked on what ranks them; only those of the pages are met with the columns that are shown.
+    """
+    ends = found.ends.withColumnsRenamed({"rung": "page_rung"}).drop("total_count")
+    asked = found.asked.select(*_carried(found.asked), "skip").join(ends, "request_id")
+    passed = F.coalesce(F.col("last_key") <= F.col("page_first"), F.lit(False))
+    parts = _up_to_page(bounds.by_request(found.parts).join(asked, "request_id")).filter(~passed)
+    cells = _up_to_page(
+        _open(parts.withColumn("whole", F.col("sure")), index.cells, BLOCK_ID, "cell", F.col("cell_id").isNull())
     )
     # In a cell that matches as a whole only its first rows in the request's
     # order can be on the page; a distance in the order rules that short cut out.
-    ranked = F.col("sure") & ~((F.col("sort") == "featured") & F.col("q_lat").isNotNull())
+    ranked = F.col("whole") & ~((F.col("sort") == "featured") & F.col("q_lat").isNotNull())
+    bands = F.sequence(F.lit(0), _band(F.when(ranked, F.least("upto", "n")).otherwise(F.col("n"))))
+    keys = [*CELL_ID, "lead"]
+    opened = cells.select("request_id", *CELL_ID, "whole", ranked.alias("ranked"), F.explode(bands).alias("lead"))
     nth = (
         F.when(F.col("sort") == "priceAsc", F.col("nth_price"))
         .when(F.col("sort") == "priceDesc", F.col("nth_price_desc"))
@@ -490,33 +629,45 @@ def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
         .when(F.col("sort") == "featured", F.col("nth_ai"))
         .otherwise(F.col("nth_id"))
     )
-    # The first rows of each cell are filed a second time under ranked: such a
-    # pair meets only them, however many rows its cell holds.
-    places = [c for c in index.rows.columns if c.startswith("nth_")]
-    leads = F.least(*places) <= resolved.agg(F.max("upto")).scalar()
-    filed = index.rows.withColumn(
-        "ranked", F.explode(F.when(leads, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    places = ["nth_id", "nth_price", "nth_price_desc", "nth_newest", "nth_ai"]
+    tested = index.rows.select(*keys, "property_listing_id", "beds_int", *VARYING, "latitude", "longitude", *places)
+    met = opened.join(tested, keys).join(asked, "request_id").filter(~F.col("ranked") | (nth <= F.col("upto"))).drop(*places)
+    key = F.col("first_key")
+    # Rows of an unsure cell before the page were counted one by one, those of a sure cell were not.
+    counted = F.coalesce(~F.col("whole") & (key <= F.col("page_first")), F.lit(False))
+    rows = _assess(met, "row").filter(
+        (F.col("rung") == F.col("page_rung")) & ~counted & F.coalesce(key <= F.col("page_last"), F.lit(True))
     )
-    opened = _down(cells.withColumn("ranked", ranked), resolved, filed, [*CELL_ID, "ranked"]).filter(
-        ~F.col("ranked") | (nth <= k)
+    order = Window.partitionBy("request_id").orderBy("first_key", "property_listing_id")
+    ranked = (
+        rows.select("request_id", *keys, "property_listing_id", "first_key", "rung", "near_km", "skip", "upto", "passed")
+        .withColumn("position", (F.row_number().over(order) + F.col("passed")).cast("int"))
+        .filter(F.col("position").between(F.col("skip") + 1, F.col("upto")))
+    )
+    shown = index.rows.select(
+        *keys, "property_listing_id", "property_title", "location_name", "property_type", "offering_type",
+        "price", "size_sqft", "beds_int", "bath_int", "latitude", "longitude", "listing_date",
+        "trusted", "trust_score", "image_url", "agent_name", "ai_score",
     )
-    rows = _assess(opened, "row")
-    order = Window.partitionBy("request_id").orderBy("rung", "first_key", "property_listing_id")
-    whole = Window.partitionBy("request_id")
     return (
-        rows.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= k)
-        .withColumn("_nearest", F.min("rung").over(whole))
-        .filter(F.col("rung") == F.col("_nearest"))
-        .select(
-            "request_id", "position", "rung", F.col("near_km").alias("dist_km"),
-            "property_listing_id", "property_title", "location_name", "property_type", "offering_type",
-            "price", "size_sqft", "beds_int", "bath_int", "latitude", "longitude", "listing_date",
-            "trusted", "trust_score", "image_url", "agent_name", "ai_score",
-        )
+        ranked.select("request_id", "position", "rung", F.col("near_km").alias("dist_km"), *keys, "property_listing_id")
+        .join(shown, [*keys, "property_listing_id"])
+        .select("request_id", "position", "rung", "dist_km", *[c for c in shown.columns if c not in keys])
     )
 
 
+def has_match(resolved: DataFrame, index: SearchIndex) -> DataFrame:
+    """(request_id) of requests that at least one listing matches: a sure block decides, the others are opened."""
+    asked = written(resolved, "asked")
+    blocks = written(block_pairs(asked, index).select("request_id", *CELL_ID, *_STATE), "blocks")
+    decided = blocks.filter("sure").select("request_id").distinct()
+    left = _with_request(blocks.join(decided, "request_id", "left_anti"), asked)
+    cells = _open(left, index.cells, BLOCK_ID, "cell", F.col("cell_id").isNull())
+    tested = index.rows.select(*CELL_ID, "beds_int", *VARYING, "latitude", "longitude")
+    rows = _open(cells, tested, CELL_ID, "row", ~F.col("sure"))
+    return decided.unionAll(rows.select("request_id").distinct())
+
+
 # --- results -------------------------------------------------------------------
 
 def counts(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
@@ -560,18 +711,16 @@ def _label(dated: bool) -> Column:
 
 def meta(requests: DataFrame, index: SearchIndex, as_of, dated: bool = True) -> DataFrame:
     """(request_id, total_count, page, search_method) of every accepted request."""
-    return _meta(resolve(requests, index, as_of), index, dated)
+    return _meta(match(resolve(requests, index, as_of), index), index, dated)
 
 
-def _meta(resolved: DataFrame, index: SearchIndex, dated: bool = True) -> DataFrame:
+def _meta(found: Matches, index: SearchIndex, dated: bool = True) -> DataFrame:
     """A keyword search without hits is labelled by whether its plain filters
-    left anything; only those requests are counted a second time."""
-    hits = resolved.join(count_matches(resolved, index), "request_id", "left")
+    left anything; only those requests go down a second time."""
+    hits = found.asked.join(found.counts, "request_id", "left")
     keyword = F.col("mode").isin("centroid", "text")
-    unsure = without_geo(
-        hits.filter(keyword & F.col("total_count").isNull()).select(*resolved.columns)
-    )
-    before = count_matches(unsure, index).select("request_id", F.lit(True).alias("had_rows"))
+    unsure = without_geo(hits.filter(keyword & F.col("total_count").isNull()).select(*found.asked.columns))
+    before = has_match(unsure, index).withColumn("had_rows", F.lit(True))
     return (
         hits.join(before, "request_id", "left")
         .withColumn("filtered", F.col("total_count").isNotNull() | F.coalesce("had_rows", F.lit(False)))
@@ -582,29 +731,26 @@ def _meta(resolved: DataFrame, index: SearchIndex, dated: bool = True) -> DataFr
 
 def page(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
     """The listings of each request's page, in order."""
-    return _page(resolve(requests, index, as_of), index)
+    return _page(match(resolve(requests, index, as_of), index), index)
 
 
-def _page(resolved: DataFrame, index: SearchIndex) -> DataFrame:
-    shown = resolved.select("request_id", "skip", "luxury")
+def _page(found: Matches, index: SearchIndex) -> DataFrame:
+    score = F.col("ai_score") + F.when(F.col("luxury"), LUXURY_BOOST).otherwise(0.0)
     return (
-        top_matches(resolved, index)
-        .join(shown, "request_id")
-        .filter(F.col("position") > F.col("skip"))
-        .withColumn(
-            "ai_score", F.col("ai_score") + F.when(F.col("luxury"), LUXURY_BOOST).otherwise(0.0)
-        )
+        listings(found, index)
+        .join(found.asked.select("request_id", "luxury"), "request_id")
+        .withColumn("ai_score", score)
         .withColumn(
             "final_rank", F.col("ai_score") - F.coalesce(F.col("dist_km"), F.lit(0.0)) * RANK_PER_KM
         )
-        .drop("skip", "luxury")
+        .drop("luxury")
     )
 
 
 def search(requests: DataFrame, index: SearchIndex, as_of) -> DataFrame:
     """Pages with their request's total count and search method."""
-    resolved = resolve(requests, index, as_of)
-    return _page(resolved, index).join(_meta(resolved, index), "request_id")
+    found = match(resolve(requests, index, as_of), index)
+    return _page(found, index).join(_meta(found, index), "request_id")
 
 
 def response(results: DataFrame, index: SearchIndex, as_of, image_url: str = codes.DEFAULT_IMAGE) -> DataFrame:

@@ -531,11 +531,14 @@ def knn_similarity(ws: Workspace) -> DataFrame:
 def user_centroid(ws: Workspace) -> DataFrame:
     index = ws.recommend_index()
     users = recommend.user_centroids(ws.sources.rec_history(), ws.model_table(), index.scaling)
-    squares = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda total, w: total + w * w)
-    villa = F.coalesce(F.try_element_at("weights", F.lit("property_type=villa")), F.lit(0.0))
-    return users.select(
-        "user_id", "n", *[_round(f"x_{c}", 9) for c in FEATURE_LIST],
-        F.round(villa, 9).alias("villa_share"), F.round(squares, 9).alias("share_squares"),
+    shares = recommend.user_shares(ws.sources.rec_history(), ws.model_table(), index.scaling)
+    is_villa = (F.col("feature") == "property_type") & (F.col("value") == "villa")
+    villa = F.coalesce(F.max(F.when(is_villa, F.col("share"))), F.lit(0.0))
+    by_user = shares.groupBy("user_id").agg(
+        F.round(villa, 9).alias("villa_share"), F.round(F.sum(F.col("share") * F.col("share")), 9).alias("share_squares")
+    )
+    return users.join(by_user, "user_id").select(
+        "user_id", "n", *[_round(f"x_{c}", 9) for c in FEATURE_LIST], "villa_share", "share_squares"
     )
 
 

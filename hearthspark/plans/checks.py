@@ -138,7 +138,10 @@ check("validate_requests", ["search_requests"], """
 SELECT request_id, odd, CAST(min_price AS DOUBLE) AS min_price, reject_reason IS NULL AS accepted, reject_reason FROM (
  SELECT request_id, FALSE AS odd, min_price, CASE WHEN page < 1 THEN 'page must be 1 or more' END AS reject_reason FROM search_requests
  UNION ALL SELECT request_id, TRUE, CASE request_id % 3 WHEN 0 THEN 3000000000 WHEN 2 THEN min_price END,
- CASE WHEN request_id % 3 = 1 THEN 'min_price does not fit its type' WHEN request_id % 5 = 0 THEN 'page does not fit its type'
+ CASE WHEN request_id % 3 = 1 THEN 'min_price does not fit its type'
+  WHEN (request_id // 25) % 5 = 0 THEN 'page does not fit its type'
+  WHEN (request_id // 25) % 7 = 3 THEN 'property_type_ids does not fit its type'
+  WHEN (request_id // 25) % 11 = 2 THEN 'near_by does not fit its type'
   WHEN page < 1 THEN 'page must be 1 or more' END FROM search_requests)""")
 check("serving_columns", ["model_table"], """
 SELECT property_listing_id, property_title, location_name, price, beds_int, bath_int, latitude, longitude, listing_date,

@@ -88,33 +88,57 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None, f
         if field.name not in df.columns:
             columns.append(default.alias(field.name))
             continue
-        value = F.col(field.name)
-        if df.schema[field.name].dataType != field.dataType:
-            value = value.try_cast(field.dataType)
-        if isinstance(field.dataType, T.DoubleType):
-            value = F.when(~F.isnan(value), value)
+        value = _fitted(F.col(field.name), df.schema[field.name].dataType, field.dataType)
         if fill_nulls and field.name in defaults:
             value = F.coalesce(value, default)
         columns.append(value.alias(field.name))
     return df.select(*columns)
 
 
+def _fitted(value: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """The value in the wanted type, element by element; what does not fit, and NaN, is null."""
+    if isinstance(wanted, T.ArrayType) and isinstance(given, T.ArrayType):
+        return F.transform(value, lambda x: _fitted(x, given.elementType, wanted.elementType))
+    if isinstance(wanted, T.StructType) and isinstance(given, T.StructType):
+        parts = [
+            (_fitted(value[f.name], given[f.name].dataType, f.dataType) if f.name in given.names else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in wanted.fields
+        ]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    if given != wanted:
+        value = value.try_cast(wanted)
+    return F.when(~F.isnan(value), value) if isinstance(wanted, T.DoubleType) else value
+
+
+def _unfit(value: Column, given: T.DataType, wanted: T.DataType) -> Column:
+    """Whether a value, or anything in it, was given but does not fit the wanted type."""
+    if isinstance(wanted, T.ArrayType) and isinstance(given, T.ArrayType):
+        return F.coalesce(F.exists(value, lambda x: _unfit(x, given.elementType, wanted.elementType)), F.lit(False))
+    if isinstance(wanted, T.StructType) and isinstance(given, T.StructType):
+        bad = F.lit(False)
+        for f in wanted.fields:
+            if f.name in given.names:
+                bad |= _unfit(value[f.name], given[f.name].dataType, f.dataType)
+        return bad
+    bad = F.lit(False)
+    if given != wanted:
+        bad = value.isNotNull() & value.try_cast(wanted).isNull()
+        if isinstance(wanted, T.IntegralType) and isinstance(given, T.FractionalType):
+            bad |= F.coalesce(value != F.floor(value), F.lit(False))
+    if isinstance(given, (T.DoubleType, T.FloatType)):
+        bad |= F.coalesce(F.isnan(value), F.lit(False))
+    return bad
+
+
 def misfit(df: DataFrame, schema: T.StructType) -> Column:
     """The first column of the schema whose value was given but does not fit its type, or null.
 
-    A fraction does not fit a whole number, and NaN fits nothing.
+    Lists are looked at element by element, structs field by field. A fraction
+    does not fit a whole number, and NaN fits nothing.
     """
-    reasons = []
-    for field in schema.fields:
-        if field.name not in df.columns:
-            continue
-        given, value = df.schema[field.name].dataType, F.col(field.name)
-        bad = F.lit(False)
-        if given != field.dataType:
-            bad = value.isNotNull() & value.try_cast(field.dataType).isNull()
-            if isinstance(field.dataType, T.IntegralType) and isinstance(given, T.FractionalType):
-                bad |= value.isNotNull() & (value != F.floor(value))
-        if isinstance(given, (T.DoubleType, T.FloatType)):
-            bad |= F.coalesce(F.isnan(value), F.lit(False))
-        reasons.append(F.when(bad, field.name))
+    reasons = [
+        F.when(_unfit(F.col(f.name), df.schema[f.name].dataType, f.dataType), f.name)
+        for f in schema.fields
+        if f.name in df.columns
+    ]
     return F.coalesce(*reasons, F.lit(None).cast("string"))

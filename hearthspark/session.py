@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,11 @@ def staged(spark: SparkSession, name: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read back: for what a job of several steps reads twice."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hearthspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

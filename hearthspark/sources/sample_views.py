@@ -162,10 +162,16 @@ class SampleTables:
         return self.view("rec_history")
 
     def odd_requests(self) -> DataFrame:
-        """The search requests as text from outside: some limits beyond 32 bits, some that are no numbers."""
+        """The search requests as text from outside: limits beyond 32 bits, and words, fractions and NaN where numbers belong."""
         price = "CASE request_id % 3 WHEN 0 THEN '3000000000' WHEN 1 THEN 'about 5' ELSE CAST(min_price AS STRING) END"
-        page = "CASE WHEN request_id % 5 = 0 THEN 1.5D ELSE CAST(page AS DOUBLE) END"
-        return self.view("search_requests").withColumns({"min_price": F.expr(price), "page": F.expr(page)})
+        page = "CASE WHEN (request_id DIV 25) % 5 = 0 THEN 1.5D ELSE CAST(page AS DOUBLE) END"
+        kinds = "CASE WHEN (request_id DIV 25) % 7 = 3 THEN array('35', 'x') ELSE CAST(property_type_ids AS ARRAY<STRING>) END"
+        near = (
+            "CASE WHEN (request_id DIV 25) % 11 = 2 THEN named_struct('radius', double('NaN'), 'lat', 26.1D, 'lon', 56D)"
+            " ELSE named_struct('radius', near_radius, 'lat', near_lat, 'lon', near_lon) END"
+        )
+        odd = {"min_price": price, "page": page, "property_type_ids": kinds, "near_by": f"CASE WHEN near_lat IS NOT NULL OR (request_id DIV 25) % 11 = 2 THEN {near} END"}
+        return self.view("search_requests").withColumns({c: F.expr(x) for c, x in odd.items()})
 
     def search_requests(self) -> DataFrame:
         raw = self.view("search_requests")

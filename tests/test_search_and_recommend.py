@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthspark import schemas
-from hearthspark.operators import ranker, recommend, search
+from hearthspark.operators import features, ranker, recommend, search
 from hearthspark.plans import catalog
 from hearthspark.schemas import conform
+from hearthspark.session import written
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -36,6 +37,10 @@ def requests(spark):
         (5, None, None, None, None, near(2.0), "featured", 1, 25), (6, 2, None, None, ["marina"], None, "newest", 1, 5),
         (7, None, 300000, None, None, near(4000.0), "bedroomAsc", 1, 9), (8, None, None, None, [""], None, "newest", 1, 5),
         (9, None, None, None, None, None, None, 0, 5), (10, None, None, None, None, None, "sideways", 1, 5),
+        # pages far down, of all rows, of a hot key, of a distance, and beyond the end
+        (11, None, None, None, None, None, "priceAsc", 40, 30), (12, None, 500000, 500000, None, None, "priceDesc", 50, 19),
+        (13, None, None, None, None, near(4000.0), "featured", 100, 12), (14, 1, 200000, None, None, None, "bedroomDesc", 400, 5),
+        (15, None, None, None, None, None, "priceAsc", 5000, 20),
     ]
     df = spark.createDataFrame(
         rows,
@@ -79,9 +84,13 @@ def brute_force(serving, resolved):
     return pages, totals
 
 
+def stage(name, make):
+    return written(make(), name)
+
+
 def test_search_on_hot_data_equals_brute_force(spark):
     serving = skewed_serving(spark)
-    index = search.build_index(serving)
+    index = search.build_index(serving, stage=stage)
     resolved = search.resolve(requests(spark), index, AS_OF)
     pages, totals = brute_force(serving, resolved)
     found = {}
@@ -93,7 +102,7 @@ def test_search_on_hot_data_equals_brute_force(spark):
 
 def test_search_does_not_depend_on_partitions(spark, ws):
     def pages(parts):
-        index = search.build_index(ws.serving().repartition(parts))
+        index = search.build_index(ws.serving().repartition(parts), stage=stage)
         got = search.page(ws.sources.search_requests(), index, AS_OF).select("request_id", "position", "property_listing_id")
         return sorted(map(tuple, got.collect()))
 
@@ -102,7 +111,44 @@ def test_search_does_not_depend_on_partitions(spark, ws):
 
 def test_rejected_requests(spark):
     got = {r.request_id: r.reject_reason for r in search.validate(requests(spark)).collect()}
-    assert got[9] and got[10] and not any(got[i] for i in range(1, 9))
+    assert got[9] and got[10] and not any(got[i] for i in (*range(1, 9), *range(11, 16)))
+
+
+def test_rows_before_a_page_are_counted_not_opened(spark):
+    """A page far down opens the rows around it; what the others open does not change."""
+    index = search.build_index(skewed_serving(spark), stage=stage)
+    resolved = search.resolve(requests(spark), index, AS_OF)
+    found = search.match(resolved, index)
+    ends = {r.request_id: r for r in found.ends.collect()}
+    assert all(r.passed <= 30 * 399 for r in ends.values())
+    assert ends[14].passed > 1000 and ends[14].passed <= 399 * 5
+    assert ends[15].total_count == 3000 and search.listings(found, index).filter("request_id = 15").count() == 0
+    alone = search.match(resolved.filter("request_id < 11"), index)
+    several = {r.request_id: r for r in alone.ends.collect()}
+    assert several and all(ends[k] == several[k] for k in several)
+
+
+def test_elements_that_do_not_fit(spark):
+    df = spark.createDataFrame(
+        [
+            (1, ["35", "x"], [1.0], (25.0, 55.0, 5.0)), (2, ["35", None], [1.5], (25.0, 55.0, 5.0)),
+            (3, ["35"], [2.0], (25.0, 55.0, float("nan"))), (4, ["1", "22"], [2.0, None], (25.0, 55.0, 5.0)), (5, None, None, None),
+        ],
+        "request_id long, property_type_ids array<string>, number_of_bedrooms array<double>, near_by struct<radius:double,lat:double,lon:double>",
+    )
+    got = {r.request_id: r for r in search.validate(df).collect()}
+    assert [got[i].reject_reason for i in range(1, 6)] == [
+        "property_type_ids does not fit its type", "number_of_bedrooms does not fit its type", "near_by does not fit its type", None, None
+    ]
+    assert got[4].property_type_ids == [1, 22] and got[4].near_by.radius == 25.0 and got[4].near_by.lon == 5.0
+
+
+def test_no_window_above_the_rows(spark, ws):
+    """Bounds come from counts by bucket: the only window of a page ranks its rows."""
+    index = ws.search_index()
+    found = search.match(search.resolve(ws.sources.search_requests(), index, AS_OF), index)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found.parts, found.ends, search.listings(found, index))]
+    assert [p.count("Window [") for p in plans] == [0, 0, 1]
 
 
 def test_no_pair_join_is_a_nested_loop(ws):
@@ -129,6 +175,42 @@ def test_all_levels_and_no_match(spark):
     assert {r.level for r in got} == {1, 2, 3, 4, None} and "no_match" in {r.status for r in got}
 
 
+def test_a_long_history_has_no_map(spark, ws):
+    """A user with very many category values is compared through rows, and as by hand."""
+    rows = ws.model_table().limit(400).withColumn("location_id", F.col("property_listing_id").cast("bigint") + 1_000_000)
+    table = rows.unionByName(ws.model_table().join(rows.select("property_listing_id"), "property_listing_id", "left_anti"))
+    history = rows.select(F.lit(1).cast("long").alias("user_id"), "property_listing_id")
+    index = recommend.build_index(table, stage)
+    vectors, weights = recommend.query_vectors(recommend.resolve(_ask(spark, "villa", 1)), index, history, table)
+    assert not any("map" in kind for _, kind in [*vectors.dtypes, *weights.dtypes])
+    mine = {(r.feature, r.value): r.weight for r in weights.filter("owner = 'user 1'").collect()}
+    assert sum(f == "location_id" for f, _ in mine) == 400 and abs(sum(w for (f, _), w in mine.items() if f == "location_id") - 1) < 1e-9
+    found = recommend.candidates(_ask(spark, "villa", 1), index, history, table).collect()
+    listed = {r.property_listing_id: r for r in recommend.build_index(table, stage).rows.collect()}
+    q = vectors.collect()[0]
+    for r in found:
+        x = listed[r.property_listing_id]
+        dot = sum(mine.get((c, x[c]), 0.0) for c in features.CATEGORIES) + sum(x[f"x_{n}"] * q[f"q_{n}"] for n in features.NUMERIC)
+        norm = (len(features.CATEGORIES) + sum(x[f"x_{n}"] ** 2 for n in features.NUMERIC)) ** 0.5
+        assert abs(r.similarity_score - dot / (norm * q.q_norm)) < 1e-9
+    assert found
+
+
+def test_levels_are_those_of_the_listings(spark, ws):
+    """The level of a request, decided on segments and paths, is the smallest level of any listing."""
+    asked, index = catalog.all_rec_requests(ws), ws.recommend_index()
+    resolved = recommend.resolve(asked)
+    asking = recommend._asking(resolved, index)
+    got = {r.request_id: r.level for r in recommend.request_levels(asking, index, recommend._places(asking, index)).collect()}
+    listed = index.rows.select("offering_type", "property_type", "beds_int", "full_location_path", "price")
+    near = asking.join(listed, ["offering_type", "property_type"]).filter("abs(beds_int - want_beds) <= 1")
+    level = recommend._level(F.col("price"), F.col("price")).alias("level")
+    want = near.select("request_id", level).filter("level IS NOT NULL").groupBy("request_id").agg(F.min("level").alias("level"))
+    assert got == {r.request_id: r.level for r in want.collect()} and len(set(got.values())) > 2
+    pairs = recommend._leveled_blocks(resolved, index)
+    assert pairs.filter("level <= 2 AND beds_int != want_beds").count() == 0
+
+
 def test_one_level_per_request(ws):
     found = recommend.candidates(catalog.all_rec_requests(ws), ws.recommend_index())
     assert found.groupBy("request_id").agg(F.countDistinct("level").alias("n")).filter("n > 1").count() == 0
@@ -142,8 +224,6 @@ def _ask(spark, kind, user):
 
 @pytest.mark.parametrize("seed,kind", [("luxury", "villa"), ("budget", "apartment")])
 def test_history_moves_the_ranking(spark, ws, seed, kind):
-    from hearthspark.operators import features
-
     seeds = features.history_seeds(ws.model_table()).filter(F.col("seed") == seed)
     history = seeds.select(F.lit(1).cast("long").alias("user_id"), "property_listing_id")
     index, asked = ws.recommend_index(), _ask(spark, kind, 1)
@@ -175,7 +255,7 @@ def test_hot_twins_keep_the_smallest_ids(spark, ws):
     table = ws.model_table().filter("property_type <> 'villa'").unionByName(copies)
     beds = one.collect()[0].beds_int
     asked = _ask(spark, "villa", None).withColumn("bedrooms", F.lit(str(beds)))
-    index = recommend.build_index(table)
+    index = recommend.build_index(table, stage)
     got = [r.property_listing_id for r in recommend.candidates(asked, index).orderBy("nearest").collect()]
     assert got == [f"z{i:04d}" for i in range(50)]
     assert index.rows.filter("property_type = 'villa'").count() == 50
@@ -193,7 +273,7 @@ def test_training_scoring_and_saving(ws, tmp_path):
     leak_free = [f for f in ranker.LISTING_FEATURES if f != "smart_popularity_score"]
     honest = ranker.fit(table, leak_free, ranker.LISTING_RATE, trees=3)
     assert 0 <= ranker.auc(ranker.probability(table, honest)).collect()[0].auc <= 1
-    index = search.build_index(*(lambda t: (t, t["ai_score"]))(ranker.ai_score(ws.serving(), model, AS_OF)))
+    index = search.build_index(*(lambda t: (t, t["ai_score"]))(ranker.ai_score(ws.serving(), model, AS_OF)), stage=stage)
     page = search.page(ws.sources.search_requests(), index, AS_OF).collect()
     assert page and all(0 <= r.ai_score <= 110 for r in page)
     pool = recommend.recommend(ws.sources.rec_requests(), ws.recommend_index(), n=50)
