@@ -92,7 +92,7 @@ def _frequencies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """The weight of each bucket, from all documents."""
+    """The weight of each bucket, from all rows given."""
     rows = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "bucket long, n long")
     found = dict(map(tuple, rows.groupBy("bucket").agg(F.sum("n")).collect()))
     texts = found.pop(-1, 0)
@@ -142,12 +142,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
-    """Learn from rows with a language whose fold is not 2; document frequencies come from all rows.
+    """Learn from rows with a language whose fold is not 2; nothing of any other row has a part in the model.
 
-    Rows without letters teach nothing. Without any labelled row the model knows no language.
+    Document frequencies come from all of these rows, centroids from FIT_ROWS of them. Rows without letters teach
+    nothing. Without any labelled row the model knows no language.
     """
-    idf = inverse_frequencies(docs, text)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(doc_id)) != 2))
+    idf = inverse_frequencies(known, text)
     many = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     share = {name: min(1.0, FIT_ROWS / len(many) / n) for name, n in many.items()}
     chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
@@ -163,9 +164,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 out.append(at.astype("<u2").tobytes() + v[at].astype("<f2").tobytes())
         return pa.array(out, type=pa.binary())
 
+    drawn = F.lit(False)
+    for name, part in share.items():
+        drawn |= (F.col(lang) == name) & (chance < part)
+    sample = known.filter(drawn).select(F.col(lang).alias("lang"), packed(F.col(text)).alias("v")).toArrow()
+    by_language: dict[str, list[bytes]] = {name: [] for name in languages}
+    for name, v in zip(sample["lang"].to_pylist(), sample["v"].to_pylist(), strict=True):
+        if v:
+            by_language[name].append(v)
     for i, name in enumerate(languages):
-        rows = known.filter((F.col(lang) == name) & (chance < share[name])).select(packed(F.col(text)).alias("v"))
-        got = [v for v in rows.toArrow()["v"].to_pylist() if v]
+        got = sorted(by_language[name])
         x = np.zeros((len(got), 1 << BUCKETS), dtype=np.float32)
         for k, v in enumerate(got):
             half = len(v) // 2

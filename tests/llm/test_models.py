@@ -1,6 +1,7 @@
 """Learned operators: odd rows, missing classes, held-out accuracy."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -88,6 +89,20 @@ def test_shared_estimates_are_kneser_ney(docs):
     assert set(np.unique(keys & ((1 << 8 * size) - 1)).tolist()) <= set(shared.key)
 
 
+def test_language_model_knows_nothing_of_other_rows(docs):
+    """Held-out documents, and those without a language, have no part in frequencies or centroids."""
+    kept = [(k, f"ein satz mit worten {k} und mehr davon") for k in range(300) if zlib.crc32(str(k).encode()) % 4 != 2]
+    held = [(k, "x") for k in range(300) if zlib.crc32(str(k).encode()) % 4 == 2]
+    first = languages.fit(docs(kept, "de"))
+    other = docs([(i, "quite another text with other letters") for i, _ in held], "de").unionByName(
+        docs([(9000 + k, "no language was given here") for k in range(50)], None)
+    )
+    second = languages.fit(docs(kept, "de").unionByName(other))
+    assert first.languages == second.languages == ["de"]
+    assert (first.idf == second.idf).all()
+    assert first.centroids.shape == second.centroids.shape and np.allclose(first.centroids, second.centroids)
+
+
 def test_quality_of_held_out_documents(spark, odd):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
