@@ -30,6 +30,8 @@ from hearthspark.llm.hashing import P1, P3, mix, xxh64_spans
 #: Sentences of a span at least, and the words that it must have.
 RUN = 3
 WORDS = 12
+#: A hash is hot if it has more than one place in so many; the tasks that meet the places of a hot hash.
+HOT, SALTS = 1024, 64
 #: Words after which a sentence may be cut within, and the words on either side that decide where.
 LONG, NEAR = 12, 3
 
@@ -220,13 +222,27 @@ def body(text: Column) -> Column:
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, body, positions): where each document has spans that an earlier place has, too."""
+    """(doc_id, body, positions): where each document has spans that an earlier place has, too.
+
+    A hash that over one repeated place in HOT has is hot; there are HOT of them at most, which all tasks are told, and their
+    places meet what they are joined with in SALTS tasks each.
+    """
     places = spans(docs, text, doc_id)
-    twice = places.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
-    again = written(places.join(twice, "h1", "left_semi"), "spans")
+    twice = written(places.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-hashes")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot = written(twice.filter(F.col("n") * HOT > total).select("h1", F.lit(SALTS).alias("salts")), "hot-spans")
+
+    def salted(rows: DataFrame) -> DataFrame:
+        """One row for each salt of its hash."""
+        every = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        return rows.join(F.broadcast(hot), "h1", "left").withColumn("salt", F.explode(every)).drop("salts")
+
+    own = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("body", "position"), F.lit(SALTS))).otherwise(0)
+    dealt = places.join(F.broadcast(hot), "h1", "left").withColumn("salt", own.cast("int")).drop("salts")
+    again = written(dealt.join(salted(twice.select("h1")), ["h1", "salt"], "left_semi"), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "body", "position")
     first = again.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    other = again.withColumn("place", place).join(first, ["h1", "h2"]).filter("place != first")
+    other = again.withColumn("place", place).join(salted(first), ["h1", "h2", "salt"]).filter("place != first")
     return other.groupBy("doc_id", "body").agg(F.collect_set("position").alias("positions"))
 
 

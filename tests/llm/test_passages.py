@@ -57,6 +57,17 @@ def test_repeated_passages(odd, docs):
     assert substrings.remove_repeated(docs([])).count() == 0
 
 
+def test_hot_spans_are_cut_alike(docs, monkeypatch):
+    """A passage that a third of all documents share, with all hashes hot and with none."""
+    pick = random.Random(21)
+    passage = prose(pick, 7)
+    rows = [(k, " ".join(prose(pick, 4) + (passage if k % 3 == 0 else []) + prose(pick, 3))) for k in range(300)]
+    want = sorted(brute_spans(rows))
+    for hot in (1 << 40, 1024, 0):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        assert sorted((str(r.doc_id), r.text) for r in substrings.remove_repeated(docs(rows)).collect()) == want
+
+
 def test_a_clean_corpus_stays(docs):
     pick = random.Random(2)
     rows = [(k, " ".join(prose(pick, 12))) for k in range(20)]
