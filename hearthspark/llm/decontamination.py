@@ -69,15 +69,14 @@ def _distinct(at: np.ndarray, h1: np.ndarray) -> np.ndarray:
     return np.sort(order[fresh])
 
 
-def shingles(rows: DataFrame, names: list[str], below: int | None = None) -> DataFrame:
-    """``names`` with (h1, h2) of each distinct shingle of ``text``; only hashes up to ``below``, if given."""
+def shingles(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` with (h1, h2) of each distinct shingle of ``text``."""
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for first, texts in batches(batch.column("text")):
                 for buf, text, start, size, h1 in shingle_rows(texts):
                     at = _distinct(text, h1)
-                    at = at[h1[at] <= np.uint64(below)] if below is not None else at
                     h2 = xxh64_spans(buf, start[at], size[at], SEEDS[1])
                     yield _rows(batch, names, first + text[at], h1[at], h2)
 
@@ -85,22 +84,27 @@ def shingles(rows: DataFrame, names: list[str], below: int | None = None) -> Dat
     return rows.select(*names, "text").mapInArrow(each, f"{kinds}, h1 long, h2 long")
 
 
-def _matches_sent(docs: DataFrame, names: list[str], sketch: np.ndarray, every: np.ndarray) -> DataFrame:
-    """The items' shingles in documents that share a sketch hash with any item; both lists are small and sorted."""
-    sent = docs.sparkSession.sparkContext.broadcast((sketch, every))
+def _matches_sent(docs: DataFrame, names: list[str], parts: list[np.ndarray], every: np.ndarray) -> DataFrame:
+    """The items' shingles in documents that share a sketch hash with an item of some part; all lists are small and sorted.
+
+    A document's sketch for a part is its hashes up to the largest of that part, and meets that part alone.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((parts, every))
 
     def among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
         return listed[at] == values
 
-    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least, whole = sent.value
-        for batch in parts:
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches, whole = sent.value
+        for batch in rows:
             for first, texts in batches(batch.column("text")):
                 found = []
                 candidate = np.zeros(len(texts), dtype=bool)
                 for buf, text, start, size, h1 in shingle_rows(texts):
-                    candidate[text[among(h1, least)]] = True
+                    for sketch in sketches:
+                        below = np.flatnonzero(h1 <= sketch[-1])
+                        candidate[text[below[among(h1[below], sketch)]]] = True
                     at = np.flatnonzero(among(h1, whole))
                     found.append((text[at], h1[at], xxh64_spans(buf, start[at], size[at], SEEDS[1])))
                 if candidate.any():
@@ -113,11 +117,33 @@ def _matches_sent(docs: DataFrame, names: list[str], sketch: np.ndarray, every:
     return docs.select(*names, "text").mapInArrow(each, f"{kinds}, h1 long, h2 long")
 
 
+def document_sketches(docs: DataFrame, names: list[str], bounds: dict[int, int]) -> DataFrame:
+    """``names`` with (part, h1): for each part the distinct hashes of a document up to the part's bound."""
+    limits = sorted(bounds.items())
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for first, texts in batches(batch.column("text")):
+                for _, text, _, _, h1 in shingle_rows(texts):
+                    kept = _distinct(text, h1)
+                    for part, bound in limits:
+                        at = kept[h1[kept] <= np.uint64(bound)]
+                        own = pa.array(first + text[at], type=pa.int64())
+                        columns = [pa.array(np.full(len(at), part, dtype=np.int64)), pa.array(h1[at].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(
+                            [*(batch.column(n).take(own) for n in names), *columns], names=[*names, "part", "h1"]
+                        )
+
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return docs.select(*names, "text").mapInArrow(each, f"{kinds}, part long, h1 long")
+
+
 def _matches_joined(docs: DataFrame, names: list[str], sketches: DataFrame, every: DataFrame) -> DataFrame:
-    """The same by joins, for lists of any size."""
-    bound = sketches.agg(F.max(_unsigned("h1"))).first()[0] + (1 << 63)
-    least = shingles(docs, names, bound).join(sketches.select("h1").distinct(), "h1", "left_semi")
-    candidates = least.select(*names).distinct()
+    """The same by joins, for lists of any size. There is one bound for each part, of which there are 64 at most."""
+    largest = sketches.groupBy("part").agg(F.max(_unsigned("h1")).alias("bound")).collect()
+    probes = document_sketches(docs, names, {r.part: r.bound + (1 << 63) for r in largest})
+    met = probes.join(sketches.select("part", "h1").distinct(), ["part", "h1"], "left_semi")
+    candidates = met.select(*names).distinct()
     same = [F.col(f"d.{n}").eqNullSafe(F.col(f"c.{n}")) for n in names]
     whole = docs.alias("d").join(candidates.alias("c"), same, "left_semi")
     return shingles(whole, names).join(every.select("h1").distinct(), "h1", "left_semi")
@@ -135,7 +161,7 @@ def item_sketches(every: DataFrame) -> DataFrame:
         "rank", F.row_number().over(own.orderBy(_unsigned("h1"), "h2"))
     )
     least = F.col("m") - F.ceil(F.col("m") * F.lit(CONTAINED)) + 1
-    return ranked.filter(F.col("rank") <= least).withColumn("part", F.floor(F.log2("m"))).drop("rank")
+    return ranked.filter(F.col("rank") <= least).withColumn("part", F.floor(F.log2("m")).cast("long")).drop("rank")
 
 
 def contained_items(
@@ -154,25 +180,25 @@ def contained_items(
     sketches = written(item_sketches(every), "sketches")
     names = ["doc_id", "body"]
     if every.count() <= sent:
-        least, whole = (
-            np.sort(x.select("h1").distinct().toArrow()["h1"].to_numpy().view(np.uint64)) for x in (sketches, every)
-        )
-        matches = _matches_sent(rows, names, least, whole) if len(whole) else shingles(rows.limit(0), names)
+        of = sketches.select("part", "h1").distinct().toArrow()
+        part, hashes = of["part"].to_numpy(), of["h1"].to_numpy().view(np.uint64)
+        whole = np.sort(every.select("h1").distinct().toArrow()["h1"].to_numpy().view(np.uint64))
+        parts = [np.sort(hashes[part == p]) for p in np.unique(part)]
+        matches = _matches_sent(rows, names, parts, whole) if len(whole) else shingles(rows.limit(0), names)
     else:
         matches = _matches_joined(rows, names, sketches, every)
-    matches = written(matches.distinct(), "matches")
-    candidates = matches.join(sketches.select("item", "h1", "h2"), ["h1", "h2"]).select(*names, "item").distinct()
+    doc = F.struct(*names).alias("doc")
+    matches = written(matches.distinct().select(doc, "h1", "h2"), "matches")
+    # Candidates first: only their shingles are looked for, however many items share a phrase.
+    candidates = matches.join(sketches.select("item", "h1", "h2"), ["h1", "h2"]).select("doc", "item").distinct()
     sizes = every.groupBy("item").agg(F.count("*").alias("n_shingles"))
-    shared = matches.join(every, ["h1", "h2"]).groupBy(*names, "item").agg(F.count("*").alias("n_shared"))
-    same = [F.col(f"s.{n}").eqNullSafe(F.col(f"c.{n}")) for n in (*names, "item")]
-    verified = shared.alias("s").join(candidates.alias("c"), same, "left_semi").join(
-        sizes.withColumnRenamed("item", "sized"), F.col("item").eqNullSafe(F.col("sized"))
-    )
+    wanted = candidates.join(every, "item").join(matches, ["doc", "h1", "h2"])
+    verified = wanted.groupBy("doc", "item").agg(F.count("*").alias("n_shared")).join(sizes, "item")
     containment = F.col("n_shared") / F.col("n_shingles")
     return (
         verified.withColumn("containment", containment)
         .filter(F.col("containment") >= CONTAINED)
-        .select(*names, F.col("item.item_id").alias("item_id"), "n_shingles", "n_shared", "containment")
+        .select("doc.*", F.col("item.item_id").alias("item_id"), "n_shingles", "n_shared", "containment")
     )
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import brute
@@ -94,3 +95,17 @@ def test_stages_on_odd_and_empty_tables(spark, odd, docs, stage):
         assert out.columns == odd.columns
     assert 0 < out.count() <= len(ODD)
     assert stage(spark, docs([]), SF_DIR).count() == 0
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_columns_of_any_name_alone(spark, odd, stage):
+    names = ["toxicity", "removed", "n_sentences", "__key", "body", "decoded", "positions", "key", "fp"]
+    clash = odd.withColumns({c: F.lit("mine") for c in names}).withColumns({c: F.lit(-1) for c in ("ids", "n_tokens")})
+    out = stage(spark, clash, SF_DIR)
+    assert set(names) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert rows and all(r[c] == "mine" for r in rows for c in names)
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert out.columns == clash.columns and all(r.n_tokens == -1 for r in rows)
+    else:
+        assert all(r.n_tokens >= 0 for r in rows)
