@@ -430,7 +430,8 @@ def _assess(df: DataFrame, step: str, settled: str = "false") -> DataFrame:
 
     sure = "true" if step == "row" else f"coalesce({' AND '.join(must)}, false) AND rung = rung_last"
     replaced = [c for c in ("rung", "sure") if c in df.columns]
-    kept = df.filter(f"{settled} OR ({can})").drop(*replaced).selectExpr("*", f"{rung('near_km')} AS rung", f"{by_order(0)} AS first_key")
+    tested = bounds.apart(df.filter(f"{settled} OR ({can})").drop(*replaced))
+    kept = tested.selectExpr("*", f"{rung('near_km')} AS rung", f"{by_order(0)} AS first_key")
     last = "rung AS rung_last", "first_key AS last_key"
     if step != "row":
         last = f"{rung('far_km')} AS rung_last", f"{by_order(1)} AS last_key"
