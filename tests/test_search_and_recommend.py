@@ -279,3 +279,17 @@ def test_training_scoring_and_saving(ws, tmp_path):
     pool = recommend.recommend(ws.sources.rec_requests(), ws.recommend_index(), n=50)
     best = ranker.rerank(pool, table, model).collect()
     assert best and all(0 <= r.ai_conversion_score <= 1 for r in best)
+
+
+def test_own_categories_are_counted_without_a_join(ws, monkeypatch):
+    index = ws.recommend_index()
+    resolved = recommend.resolve(catalog.all_rec_requests(ws))
+    vectors, weights = recommend.query_vectors(resolved, index, None, None)
+    pairs = written(recommend._leveled_blocks(resolved, index).join(vectors, "request_id"), "pairs")
+    key = ["request_id", *recommend.BLOCK, "shared"]
+    joined = recommend.with_shared(pairs.drop(*[f"own_{c}" for c in features.CATEGORIES]), weights).select(*key)
+    counted = recommend.with_own_shared(pairs).select(*key)
+    assert joined.filter("shared > 0").count() > 0
+    assert joined.exceptAll(counted).count() == 0 and counted.exceptAll(joined).count() == 0
+    monkeypatch.setattr(recommend, "with_shared", None)
+    assert recommend.candidates(catalog.all_rec_requests(ws), index).count() > 0
