@@ -122,6 +122,7 @@ class Workspace:
         return self._fitted(
             "interaction",
             lambda: ranker.fit(
-                self.training_set().filter("NOT is_test"), ranker.INTERACTION_FEATURES, ranker.INTERACTION_RATE
+                ranker.counted(self.training_set().filter("NOT is_test"), ranker.INTERACTION_FEATURES),
+                ranker.INTERACTION_FEATURES, ranker.INTERACTION_RATE, weight=ranker.ROWS,
             ),
         )

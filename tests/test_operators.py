@@ -248,3 +248,16 @@ def test_sampling_does_not_depend_on_partitions(spark, ws):
     first = sorted(map(tuple, one.collect()))
     assert len(first) == 300 and first == sorted(map(tuple, many.collect()))
     assert len({r[1] for r in first}) > 200 and 10 < sum(r[2] for r in first) < 60
+
+
+def test_counted_rows_train_the_model_of_all_rows(spark):
+    inputs = ["price", "size_sqft", "beds_int"]
+    listed = [(float(100 + 37 * k % 911), float(300 + 53 * k % 701), k % 5) for k in range(120)]
+    rows = [(*x, int((k + int(x[0])) % 4 == 0)) for k, x in enumerate(listed * 9)] + [(None, None, 1, 1)] * 5
+    train = spark.createDataFrame(rows, "price double, size_sqft double, beds_int int, target_is_lead long")
+    few = ranker.counted(train, inputs)
+    assert few.count() < train.count() / 3 and few.agg(F.sum(ranker.ROWS)).first()[0] == train.count()
+    both = [ranker.fit(train, inputs, 0.1, 5), ranker.fit(few, inputs, 0.1, 5, weight=ranker.ROWS)]
+    scored = ranker.probability(ranker.probability(few, both[0], "a"), both[1], "b")
+    assert scored.filter("abs(a - b) > 1e-6").count() == 0
+    assert scored.select("a").distinct().count() > 5
