@@ -128,6 +128,32 @@ def test_rows_before_a_page_are_counted_not_opened(spark):
     assert several and all(ends[k] == several[k] for k in several)
 
 
+def test_small_slabs_and_slices_equal_brute_force(spark, monkeypatch):
+    """Blocks cut into many slabs, and requests into slices, give the same pages and totals."""
+    monkeypatch.setattr(search, "PER_SHARD", 90)
+    monkeypatch.setattr(search, "PER_SLICE", 2)
+    test_search_on_hot_data_equals_brute_force(spark)
+
+
+def test_rows_of_equal_key_are_not_all_met(spark, monkeypatch):
+    """Where all rows tie in a request's order a page takes rows by their ids, not every row of that key."""
+    index = search.build_index(skewed_serving(spark), stage=stage)
+    resolved = search.resolve(requests(spark), index, AS_OF).filter("request_id = 6 OR request_id = 2")
+    taken = []
+    over = search._over_slabs
+
+    def kept(met, index, step):
+        out = over(met, index, step)
+        if step == "page":
+            taken.append(out)
+        return out
+
+    monkeypatch.setattr(search, "_over_slabs", kept)
+    ends = {r.request_id: r for r in search.match(resolved, index).ends.collect()}
+    assert ends[2].total_count == 1000 and search.top_matches(resolved, index).filter("request_id = 2").count() == 30
+    assert taken[0].filter("request_id = 2").count() <= 64
+
+
 def test_elements_that_do_not_fit(spark):
     df = spark.createDataFrame(
         [
