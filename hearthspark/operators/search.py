@@ -554,7 +554,9 @@ def count_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
     counted = whole.unionByName(_over_slabs(met.filter("NOT sure"), index, "count"))
     rungs = counted.groupBy("request_id", "rung").agg(F.sum("n").alias("n"))
     nearest = rungs.groupBy("request_id").agg(F.min(F.struct("rung", "n")).alias("nearest"))
-    return nearest.select("request_id", "nearest.rung", F.col("nearest.n").alias("total_count"))
+    return nearest.join(asked.select("request_id"), "request_id").select(
+        "request_id", "nearest.rung", F.col("nearest.n").alias("total_count")
+    )
 
 
 def top_matches(resolved: DataFrame, index: SearchIndex) -> DataFrame:
