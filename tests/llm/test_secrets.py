@@ -251,3 +251,30 @@ def test_rounds_and_thresholds_take_every_candidate(docs, monkeypatch):
     assert len(every) == 450 and len(seen) == len(set(seen)) and set(seen) < every
     # Parts of 64 hold every fourth, rounded up, of each label.
     assert 450 / 4 <= told[0] <= 450 / 4 + 8 and told[0] + len(seen) == 450
+
+
+def test_every_ordinary_run_of_the_fold_counts_for_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    text, own, hidden = rng.normal(-8, 1.5, 2000), rng.normal(4, 1, 100), rng.normal(4, 1, 12)
+    for missed in (hidden[:0], hidden):
+        rows = [(False, False, float(v)) for v in (*text, *missed)] + [(True, False, float(v)) for v in own]
+        model = secrets.Network.fresh()
+        secrets.calibrate(model, spark.createDataFrame(rows, "secret boolean, hexadecimal boolean, x double").repartition(3), 0.05)
+        at = (np.log(model.thresholds[0] / (1 - model.thresholds[0])) - model.shift) / model.scale
+        # Not only those below the highest 2 %, and not the secrets that no rule found.
+        assert abs(at - (np.sort(own)[2] + text.max()) / 2) < 1e-6
+
+
+def test_calibration_reads_whole_values(docs, monkeypatch):
+    rng = np.random.default_rng(23)
+    values = [_secret(rng, string.ascii_letters + string.digits, 40 + 10 * k) for k in range(60)]
+    rows = [(k, f"{_secret(rng, 'rstaeiou', 300)} token = \"{v}\"") for k, v in enumerate(values)]
+    read_moved, lengths = secrets._read_moved, []
+
+    def spied(slices, model, spare):
+        lengths.extend(len(r.value) for r in slices.selectExpr("inline(examples)").collect())
+        return read_moved(slices, model, spare)
+
+    monkeypatch.setattr(secrets, "_read_moved", spied)
+    assert secrets.fit(docs(rows).select(secrets._read("text").alias("__read"))) is not None
+    assert max(lengths) > secrets.FIT_CHARS and lengths.count(300) == 15
