@@ -2,12 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthspark import schemas
 from hearthspark.functions import cleaning, codes, geo, scoring
-from hearthspark.operators import bounds, clean, etl, features, profile, quantiles, ranker, recommend, search
+from hearthspark.operators import boosting, bounds, clean, etl, features, profile, quantiles, ranker, recommend, search
 from hearthspark.plans.jobs import Workspace
 from hearthspark.sources import files
 
@@ -261,3 +264,41 @@ def test_counted_rows_train_the_model_of_all_rows(spark):
     scored = ranker.probability(ranker.probability(few, both[0], "a"), both[1], "b")
     assert scored.filter("abs(a - b) > 1e-6").count() == 0
     assert scored.select("a").distinct().count() > 5
+
+
+def test_trees_are_those_of_sparks_learner(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    a, b, c = rng.integers(0, 20, 3000), rng.integers(0, 31, 3000), rng.integers(0, 5, 3000)
+    lead = rng.random(3000) < 1 / (1 + np.exp(-(0.2 * (a - 10) + 0.1 * (b - 15) * (c - 2))))
+    inputs = ["price", "size_sqft", "beds_int"]
+    rows = [(float(x), float(y), float(z), int(w)) for x, y, z, w in zip(a, b, c, lead)]
+    train = spark.createDataFrame(rows, "price double, size_sqft double, beds_int double, target_is_lead int").repartition(3)
+    fitted = []
+    for alone, chunk in ((16, 32_768), (1, 400)):
+        monkeypatch.setattr(boosting, "ALONE", alone)
+        monkeypatch.setattr(boosting, "CHUNK", chunk)
+        fitted.append(ranker.fit(train, inputs, 0.1, 12).stages[-1])
+    seen = VectorAssembler(inputCols=inputs, outputCol="features").transform(train)
+    sparks = GBTClassifier(labelCol="target_is_lead", maxIter=12, stepSize=0.1, maxDepth=5, seed=42).fit(seen)
+    want = np.array([r[0] for r in sparks.transform(seen).select(vector_to_array("probability")[1]).collect()])
+    for model in fitted:
+        got = np.array([r[0] for r in model.transform(seen).select(vector_to_array("probability")[1]).collect()])
+        assert np.abs(got - want).max() < 1e-5 and len(set(got)) > 100
+        assert np.allclose(model.featureImportances.toArray(), sparks.featureImportances.toArray(), atol=1e-5)
+        assert model.treeWeights == sparks.treeWeights and model.getMaxDepth() == 5
+
+
+def test_bins_take_every_row():
+    value, weight = boosting._fewer(np.concatenate([np.zeros(9000), np.arange(1.0, 5001.0)]), np.ones(14000))
+    assert len(value) <= 3 * boosting.POINTS and weight.sum() == 14000 and weight[value == 0][0] == 9000 and value[-1] == 5000
+    some = boosting.cuts(np.array([0.0, 1.0, 4.0]), np.array([5.0, 1.0, 1.0]), 31)
+    assert some.tolist() == [0.5, 2.5]
+    many = boosting.cuts(np.arange(1000.0), np.ones(1000), 31)
+    assert len(many) == 31 and np.abs(np.diff(many) - 31.25).max() < 1
+
+
+def test_a_row_that_cannot_be_read_fails_training(spark):
+    for row in ((float("nan"), 1), (1.0, None), (1.0, 2)):
+        train = spark.createDataFrame([(1.0, 0), (2.0, 1), row], "price double, target_is_lead int")
+        with pytest.raises(Exception, match="missing"):
+            ranker.fit(train, ["price"], 0.1, 2)
