@@ -45,13 +45,8 @@ def clean_numbers(df: DataFrame) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str] = IMPUTED) -> DataFrame:
     """Zeros become the median of the positive values."""
-    present = [c for c in columns if c in df.columns]
-    return df.withColumns(
-        {
-            c: F.when(F.col(c) == 0, quantiles.median_of_positives(df, c).scalar()).otherwise(F.col(c))
-            for c in present
-        }
-    )
+    medians = quantiles.exact_quantiles(df, {c: quantiles.positives(c) for c in columns if c in df.columns}, 0.5)
+    return df.withColumns({c: F.when(F.col(c) == 0, F.lit(median).cast("double")).otherwise(F.col(c)) for c, median in medians.items()})
 
 
 def parse_rooms(df: DataFrame) -> DataFrame:

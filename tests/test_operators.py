@@ -302,3 +302,18 @@ def test_a_row_that_cannot_be_read_fails_training(spark):
         train = spark.createDataFrame([(1.0, 0), (2.0, 1), row], "price double, target_is_lead int")
         with pytest.raises(Exception, match="missing"):
             ranker.fit(train, ["price"], 0.1, 2)
+
+
+def test_quantiles_of_several_columns_take_two_passes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    a, b = np.floor(rng.lognormal(9, 1, 30000)), rng.integers(1, 40, 30000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None, float("nan")) for x, y in zip(a, b)], "a double, b double, c double, d double").repartition(7)
+    narrowed = []
+    nth = quantiles.nth_smallest
+    monkeypatch.setattr(quantiles, "nth_smallest", lambda *x: narrowed.append(x) or nth(*x))
+    for p in (0, 0.05, 0.5, 0.9, 1):
+        got = quantiles.exact_quantiles(df, {c: F.col(c) for c in "abcd"}, p)
+        assert got == {"a": pytest.approx(np.quantile(a, p), rel=1e-12), "b": np.quantile(b, p), "c": None, "d": None}
+    assert not narrowed
+    monkeypatch.setattr(quantiles, "_NEAR", 3)
+    assert quantiles.exact_quantiles(df, {"a": F.col("a")}, 0.5)["a"] == np.quantile(a, 0.5) and len(narrowed) == 2
